@@ -5,10 +5,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import packing
+from citemill.llm import jaccard, language_id, packing, quality
 from citemill.llm.common import stored, table
 
 
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.reject_poor(docs, table(spark, sf_dir, "labels"))
+
+
+def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is determined."""
+    return language_id.reject_unidentified(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id; shingles of five
+    words and a similarity of 0.8 or more."""
+    return jaccard.keep_representatives(docs, width=5, percent=80)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents, tokenised and packed."""
     import public_tokenizers
@@ -16,7 +32,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [("quality classifier", of_quality), ("language ID", of_known_language), ("n-gram Jaccard join", without_near_copies), ("packing", packed)]
 
 #: Tokenisation and training can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
