@@ -17,10 +17,11 @@ their coordinates' minima, and that of a set and a box at most the sum with the
 box's upper corner, so whole boxes are skipped.
 
 *Verification.*  Surviving pairs are compared on the whole sets.  Small blocks give all
-their surviving pairs; large ones first chain their rows and tie them to the first,
-and after components are known only rows of different components meet.  So a
-family of thousands of near copies costs rows, not pairs, and no link between
-components is lost.
+their surviving pairs; large ones first tie their rows to the one nearest the middle of
+them, and after components are known, rows outside a block's largest component meet the
+rows of others, in parts of bounded size and behind a second bound of about one group a
+shingle.  So a family of thousands of near copies costs rows, not pairs, and no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -174,62 +175,140 @@ def _blocks(batches, out):
         yield from closed(tail_k, tail_v)
 
 
-def _pairs_of(percent: int, between: bool, schema):
-    """Rows (block, n, node, point[, comp]) sorted by block, n, node -> pairs (a, b)."""
-
-    def block_pairs(n, node, point, comp):
-        size = len(n)
-        if not between and size > SMALL:
-            first = np.zeros(size - 1, dtype=np.int64)
-            i, j = np.concatenate([first, np.arange(size - 1)]), np.concatenate([np.arange(1, size)] * 2)
-            ok = np.minimum(point[i], point[j]).sum(axis=1) >= overlap_needed(n[i], n[j], percent)
-            return i[ok], j[ok]
-        if between and (comp == comp[0]).all():
-            return (), ()
-        tree = RTree(point, n)
-        i, j = [], []
-        for a in range(size - 1):
-            b = tree.near(point[a], int(n[a]), percent)
-            b = b[b > a] if not between else b[(b > a) & (comp[b] != comp[a])]
-            i.append(np.full(len(b), a))
-            j.append(b)
-        return np.concatenate(i), np.concatenate(j)
+def fine_counts(h: np.ndarray) -> bytes | None:
+    """Counts over about as many groups as there are shingles, a byte each; None if one is too large."""
+    m = 1 << min(13, max(6, len(h).bit_length() - 1))
+    counts = np.bincount(((h >> np.uint64(8)) & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _fold(x: np.ndarray, m: int) -> np.ndarray:
+    """Counts over m groups from counts over more (groups are low bits)."""
+    return x.reshape(*x.shape[:-1], -1, m).sum(axis=-2, dtype=np.int32)
+
+
+def fine_bound(a: bytes | None, others: list[bytes | None]) -> np.ndarray:
+    """Bounds on the overlap of one set with others by their fine counts."""
+    out = np.full(len(others), np.iinfo(np.int64).max)
+    if a is None:
+        return out
+    mine = np.frombuffer(a, np.uint8)
+    by_size: dict[int, list[int]] = {}
+    for i, b in enumerate(others):
+        if b is not None:
+            by_size.setdefault(len(b), []).append(i)
+    for size, at in by_size.items():
+        theirs = np.frombuffer(b"".join([others[i] for i in at]), np.uint8).reshape(len(at), size)
+        m = min(size, len(mine))
+        out[at] = np.minimum(_fold(theirs, m), _fold(mine, m)).sum(axis=1)
+    return out
+
+
+def _segments(batches, columns: int, most: int):
+    """Lists of columns, each of one group (equal first column) or, if it is larger, of ``most`` of
+    its rows; with them whether the group starts and ends there."""
+    held, starts, last = None, True, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_pylist() for i in range(columns)]
+        if held is None:
+            starts = cols[0][0] != last
+        held = cols if held is None else [x + y for x, y in zip(held, cols)]
+        at, last = 0, held[0][-1]
+        keys = np.array(held[0], dtype=np.int64)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for cut in cuts.tolist():
+            yield [c[at:cut] for c in held], starts, True
+            at, starts = cut, True
+        if len(keys) - at >= most:
+            yield [c[at:] for c in held], starts, False
+            at, starts = len(keys), False
+        held = [c[at:] for c in held] if at < len(keys) else None
+    if held is not None and held[0]:
+        yield held, starts, True
+
+
+def _points(point: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(point), dtype="<i4").reshape(len(point), GROUPS)
+
+
+class _Emitted:
+    """Pairs (smaller, larger) not given lately."""
+
+    def __init__(self, most: int = 500_000):
+        self.seen, self.most, self.a, self.b = set(), most, [], []
+
+    def add(self, x: int, y: int):
+        p = (x, y) if x < y else (y, x)
+        if x != y and p not in self.seen:
+            if len(self.seen) > self.most:
+                self.seen.clear()
+            self.seen.add(p)
+            self.a.append(p[0])
+            self.b.append(p[1])
+
+    def take(self, schema):
+        if self.a:
+            batch = record_batch(schema, [self.a, self.b])
+            self.a, self.b = [], []
+            yield batch
+
+
+def _first_pairs(percent: int, schema, most: int = 4_096):
+    """Rows (block, n, node, point) sorted by block, n, node -> pairs.  A small block gives every pair that
+    its R-tree leaves; a larger one ties each row to the one nearest the middle of all (that of its
+    first ``most`` rows), so near copies of one text are tied to it."""
 
     def run(batches):
-        held = None
-        seen: set = set()
+        out, centre = _Emitted(), None
+        for (_, n, node, point), starts, ends in _segments(batches, 4, most):
+            points, sizes = _points(point), np.array(n, dtype=np.int64)
+            if starts:
+                centre = None
+            if starts and ends and len(node) <= SMALL:
+                tree = RTree(points, sizes)
+                for i in range(len(node) - 1):
+                    for j in tree.near(points[i], n[i], percent):
+                        if j > i:
+                            out.add(node[i], node[int(j)])
+            else:
+                if centre is None:
+                    mid = np.abs(points - np.median(points, axis=0)).sum(axis=1)
+                    c = int(np.lexsort((np.array(node), mid))[0])
+                    centre = (node[c], points[c], n[c])
+                ok = np.minimum(points, centre[1]).sum(axis=1) >= overlap_needed(sizes, centre[2], percent)
+                for j in np.flatnonzero(ok):
+                    out.add(centre[0], node[int(j)])
+            if len(out.a) > 50_000:
+                yield from out.take(schema)
+        yield from out.take(schema)
 
-        def closed(cols):
-            block, n, node, point, comp = cols
-            points = np.frombuffer(b"".join(point), dtype="<i4").reshape(len(point), GROUPS)
-            starts = _runs(block)
-            a, b = [], []
-            for s, e in zip(starts, np.append(starts[1:], len(block))):
-                if e - s > 1:
-                    i, j = block_pairs(n[s:e], node[s:e], points[s:e], comp[s:e])
-                    for x, y in zip(node[s:e][list(i)].tolist(), node[s:e][list(j)].tolist()):
-                        p = (x, y) if x < y else (y, x)
-                        if p not in seen:
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            seen.add(p)
-                            a.append(p[0])
-                            b.append(p[1])
-            if a:
-                yield record_batch(schema, [a, b])
+    return run
 
-        for batch in batches:
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist(), batch.column(4).to_numpy()]
-            if held is not None:
-                cols = [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, cols)]
-            if not len(cols[0]):
+
+def _between_pairs(percent: int, schema):
+    """Rows (part, kind, n, node, point, fine, comp) sorted by part, kind, n, node -> pairs of a stray
+    (kind 1) and a row (kind 0) of another component that both bounds leave."""
+
+    def run(batches):
+        out = _Emitted()
+        for (_, kind, n, node, point, fine, comp), _, _ in _segments(batches, 7, 1 << 30):
+            rows = kind.count(0)
+            if not rows or rows == len(kind):
                 continue
-            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield from closed([c[:cut] for c in cols])
-        if held is not None and len(held[0]):
-            yield from closed(held)
+            points, sizes, comps = _points(point), np.array(n, dtype=np.int64), np.array(comp, dtype=np.int64)
+            tree = RTree(points[:rows], sizes[:rows])
+            for i in range(rows, len(kind)):
+                near = tree.near(points[i], n[i], percent)
+                near = near[comps[near] != comps[i]]
+                if len(near):
+                    bound = fine_bound(fine[i], [fine[int(j)] for j in near])
+                    for j in near[bound >= overlap_needed(sizes[near], n[i], percent)]:
+                        out.add(node[i], node[int(j)])
+            if len(out.a) > 50_000:
+                yield from out.take(schema)
+        yield from out.take(schema)
 
     return run
 
@@ -302,7 +381,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, most_rows: int = 8_192) -> DataFrame:
     """One row per document: key, n_shingles, component_id, the least key reachable by links.
 
     Null or wordless text has an empty set and is linked with nothing.  Rows that
@@ -316,17 +395,18 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     kind = docs.schema[key].dataType.simpleString()
 
     def describe(cols):
-        out = {"id": cols["id"], "n": [], "node": [], "point": [], "keys": []}
+        out = {"id": cols["id"], "n": [], "node": [], "point": [], "fine": [], "keys": []}
         for t in cols["t"]:
             h = shingles(t, width)
             out["n"].append(len(h))
             out["node"].append(node_of(h) if len(h) else None)
             out["point"].append(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes() if len(h) else None)
+            out["fine"].append(fine_counts(h) if len(h) else None)
             out["keys"].append(group_keys(h, bands) if len(h) else None)
         return out
 
     base = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
-    sets = stored(arrow_map(base, describe, f"id {kind}, n bigint, node bigint, point binary, keys array<bigint>"))
+    sets = stored(arrow_map(base, describe, f"id {kind}, n bigint, node bigint, point binary, fine binary, keys array<bigint>"))
 
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     keyed = sets.where("node is not null and id is not null").select(F.explode("keys").alias("key"), "node")
@@ -334,23 +414,33 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     arrow_batches(spark, 50_000)
     blocks = stored(keyed.repartition(spread, "key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _blocks(batches, block_schema), "block bigint, node bigint").distinct())
     arrow_batches(spark)
-    points = sets.where("id is not null").select("node", "n", "point").dropDuplicates(["node"])
     pair_schema = arrow_schema("a bigint, b bigint")
 
-    def pairs(rows: DataFrame, between: bool) -> DataFrame:
-        sorted_rows = rows.select("block", "n", "node", "point", "comp").repartition(spread, "block").sortWithinPartitions("block", "n", "node")
-        return stored(sorted_rows.mapInArrow(_pairs_of(percent, between, pair_schema), "a bigint, b bigint").distinct())
-
-    first = pairs(blocks.join(points, "node").withColumn("comp", F.col("node")), False)
+    info = sets.where("id is not null").select("node", "n", "point").dropDuplicates(["node"])
+    rows = blocks.join(info, "node").select("block", "n", "node", "point")
+    first = stored(rows.repartition(spread, "block").sortWithinPartitions("block", "n", "node").mapInArrow(_first_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
     links = stored(verified(docs, sets, first, percent, width, key, text))
-    roots = components(links)
+    roots = stored(components(links))
+    # blocks whose rows weren't all compared: rows outside a block's largest component meet all others of it
     large = blocks.groupBy("block").count().where(F.col("count") > SMALL).select("block")
-    rest = stored(blocks.join(large, "block", "left_semi").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
-    split = rest.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("block")
-    rest = rest.join(split, "block", "left_semi").join(points, "node")
-    if not rest.isEmpty():
-        more = verified(docs, sets, pairs(rest, True), percent, width, key, text)
-        roots = components(links.union(more))
+    rest = blocks.join(large, "block", "left_semi").join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
+    parts = stored(rest.groupBy("block", "comp").agg(F.count("*").alias("k")))
+    main = parts.groupBy("block").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("m")).where("k > m")
+    if not main.isEmpty():
+        deal = main.select("block", "main", F.ceil(F.col("k") / most_rows).cast("int").alias("rb"), F.ceil((F.col("k") - F.col("m")) / most_rows).cast("int").alias("sb"))
+        fine = sets.where("id is not null").select("node", "n", "point", "fine")
+        met = rest.join(deal, "block")
+        fine = fine.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        met = met.join(fine, "node")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        hashed = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c)).cast("int")
+        cols = ["n", "node", "point", "fine", "comp"]
+        whole = met.select("block", hashed("rb", 1).alias("r"), each("sb").alias("s"), F.lit(0).alias("kind"), *cols)
+        strays = met.where("comp <> main").select("block", hashed("sb", 2).alias("s"), each("rb").alias("r"), F.lit(1).alias("kind"), *cols)
+        both = whole.unionByName(strays).select(F.xxhash64("block", "r", "s").alias("part"), "kind", *cols)
+        more = stored(both.repartition(spread, "part").sortWithinPartitions("part", "kind", "n", "node").mapInArrow(_between_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
+        if not more.isEmpty():
+            roots = components(links.union(verified(docs, sets, more, percent, width, key, text)))
     placed = sets.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     return placed.join(least, "root", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
