@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, functions as F
 
 from citemill.llm.common import arrow_batches, arrow_schema, record_batch
 
 OPEN, CLOSE = "### ", " </turn>\n"
-_CONTROL = re.compile(r"\\|###|</turn>|:(?= )")
+_CONTROL = re.compile(r"\\|###|</turn>|: ")
 _READ = re.compile(r"\\(\\|###|</turn>|:)|(### )|(: )|( </turn>\n)")
 
 NODE = "struct<start: bigint, stop: bigint, position: bigint, loss_start: bigint, loss_stop: bigint, attends: array<struct<start: bigint, stop: bigint>>, conversations: array<bigint>>"
@@ -119,11 +120,11 @@ class _Pack:
         del self.path[shared:]
         for t in turns[shared:]:
             formatted, lo, hi = format_turn(*t)
-            start, above = self.length, [n for _, n in self.path]
-            node = {"start": start, "stop": start + len(formatted), "position": above[-1]["position"] + above[-1]["stop"] - above[-1]["start"] if above else 0}
+            start, above = self.length, self.path[-1][1] if self.path else None
+            node = {"start": start, "stop": start + len(formatted), "position": above["position"] + above["stop"] - above["start"] if above else 0}
             learn = t[0] == self.learn_role
             node |= {"loss_start": start + lo if learn else None, "loss_stop": start + hi if learn else None}
-            node |= {"attends": [{"start": a["start"], "stop": a["stop"]} for a in above], "conversations": []}
+            node |= {"attends": self._spans(above) if above else [], "conversations": []}
             self.parts.append(formatted)
             self.length += len(formatted)
             self.nodes.append(node)
@@ -131,6 +132,14 @@ class _Pack:
         if self.path:
             self.path[-1][1]["conversations"].append(conv)
 
+    @staticmethod
+    def _spans(node) -> list[dict]:
+        """What a child of the node attends to; spans that touch are one."""
+        held = node["attends"]
+        if held and held[-1]["stop"] == node["start"]:
+            return [*held[:-1], {"start": held[-1]["start"], "stop": node["stop"]}]
+        return [*held, {"start": node["start"], "stop": node["stop"]}]
+
     def close(self):
         return "".join(self.parts), self.nodes
 
@@ -145,7 +154,7 @@ def read_back(packs: DataFrame, conv: str = "conv_id") -> DataFrame:
         for batch in batches:
             rows = []
             for text, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_start = {n["start"]: n for n in nodes}
+                starts = [n["start"] for n in nodes]  # ascending, as nodes are written in order
                 for node in nodes:
                     if not node["conversations"]:
                         continue
@@ -155,8 +164,7 @@ def read_back(packs: DataFrame, conv: str = "conv_id") -> DataFrame:
                     said, learnt, chars = hashlib.sha256(), hashlib.sha256(), 0
                     for r, t in turns:
                         said.update(f"{r}\n{t}\n".encode("utf-8"))
-                    for a, _ in spans:
-                        n = by_start[a]
+                    for n in (n for a, b in spans for n in nodes[bisect_left(starts, a) : bisect_left(starts, b)]):
                         if n["loss_start"] is not None:
                             t = unescape(text[n["loss_start"] : n["loss_stop"]])
                             learnt.update(t.encode("utf-8"))
