@@ -39,12 +39,13 @@ def resolve_numbered(markers: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def resolve_author_date(markers: DataFrame, keys: DataFrame, similarity, least: float = 0.90) -> DataFrame:
+def resolve_author_date(markers: DataFrame, keys: DataFrame, similarity, least: float = 0.90, corroborating=None) -> DataFrame:
     """Best entry by name similarity times year agreement, ties ambiguous.
 
     markers (doc_id, seq, surname, year); keys (doc_id, n, surname, years, dated).  Years
     veto first and equal names need no similarity call, so ``similarity`` (a column
-    function on two names) runs on the pairs that are left.
+    function on two names) runs on the pairs that are left.  ``corroborating`` (a column
+    function on the marker's ``others`` and the entry's ``surnames``) breaks ties.
     """
     from citemill.functions.text import year_agreement
 
@@ -54,12 +55,17 @@ def resolve_author_date(markers: DataFrame, keys: DataFrame, similarity, least:
     pairs = pairs.withColumn("score", F.when(F.col("agree").isNull(), 0.0).when(equal, F.col("agree")).otherwise(similarity(F.col("surname"), F.col("entry_surname")) * F.col("agree")))
     pairs = pairs.withColumn("score", F.round("score", 6))
     w = Window.partitionBy("doc_id", "seq")
-    best = pairs.withColumn("best", F.max("score").over(w))
+    best = pairs.withColumn("best", F.max("score").over(w)).withColumn("at_best", F.coalesce((F.col("score") == F.col("best")) & (F.col("best") >= least), F.lit(False)))
+    if corroborating is not None:
+        # among equal scores the entry that more of the marker's other names are found in wins
+        tied = F.sum(F.col("at_best").cast("int")).over(w) > 1
+        best = best.withColumn("more", F.when(F.col("at_best") & tied & (F.size("others") > 0), corroborating(F.col("others"), F.col("surnames"))).otherwise(0))
+        best = best.withColumn("at_best", F.col("at_best") & (F.col("more") == F.max(F.when(F.col("at_best"), F.col("more"))).over(w)))
     got = best.groupBy("doc_id", "seq").agg(
         F.first("surname").alias("surname"),
         F.max("best").alias("best"),
         F.count("n").alias("n_entries"),
-        F.array_sort(F.collect_list(F.when((F.col("score") == F.col("best")) & (F.col("best") >= least), F.col("n")))).alias("top"),
+        F.array_sort(F.collect_list(F.when(F.col("at_best"), F.col("n")))).alias("top"),
     )
     size = F.size("top")
     return got.select(

@@ -118,6 +118,13 @@ def test_the_four_outcomes(spark):
     assert got == {(1, 1): ("resolved", 1, []), (1, 2): ("orphaned", None, []), (1, 3): ("unresolved", None, []), (1, 4): ("ambiguous", None, [2, 3]), (2, 1): ("unresolved", None, [])}
 
 
+def test_other_names_break_ties(spark):
+    markers = spark.createDataFrame([(1, 1, "Quill", "2011", ["Brack"]), (1, 2, "Quill", "2011", ["Zed"]), (1, 3, "Quill", "2011", [])], "doc_id long, seq long, surname string, year string, others array<string>")
+    keys = spark.createDataFrame([(1, 1, "Quill", ["2011"], True, ["Quill", "Moe"]), (1, 2, "Quill", ["2011"], True, ["Quill", "Brack"])], "doc_id long, n long, surname string, years array<string>, dated boolean, surnames array<string>")
+    got = {r.seq: (r.status, r.reference_n, r.candidates) for r in mt.resolve_author_date(markers, keys, nm.name_similarity_udf, corroborating=nm.corroboration_udf).collect()}
+    assert got == {1: ("resolved", 2, []), 2: ("ambiguous", None, [1, 2]), 3: ("ambiguous", None, [1, 2])}
+
+
 def test_numbers_are_all_or_nothing(spark):
     e = spark.createDataFrame([(1, 1, "[1] a"), (1, 2, "[2] b"), (2, 1, "[1] a"), (2, 2, "b"), (3, 1, "[1] a"), (3, 2, "[3] b")], "doc_id long, n long, raw_text string")
     m = spark.createDataFrame([(d, 1, 5) for d in (1, 2, 3, 4)], "doc_id long, seq long, number long")
