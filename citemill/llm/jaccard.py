@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from citemill.llm.common import arrow_batches, arrow_map, arrow_schema, record_batch, stored
 
-GROUPS, LEAF, SMALL = 32, 16, 16
+GROUPS, LEAF, SMALL = 32, 16, 4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -256,29 +256,33 @@ class _Emitted:
 
 
 def _first_pairs(percent: int, schema, most: int = 4_096):
-    """Rows (block, n, node, point) sorted by block, n, node -> pairs.  A small block gives every pair that
-    its R-tree leaves; a larger one ties each row to the one nearest the middle of all (that of its
+    """Rows (block, n, node, point, fine) sorted by block, n, node -> pairs that both bounds leave.  A small
+    block gives every such pair of its R-tree; a larger one ties each row to the one nearest the middle of all (that of its
     first ``most`` rows), so near copies of one text are tied to it."""
 
     def run(batches):
         out, centre = _Emitted(), None
-        for (_, n, node, point), starts, ends in _segments(batches, 4, most):
+        for (_, n, node, point, fine), starts, ends in _segments(batches, 5, most):
             points, sizes = _points(point), np.array(n, dtype=np.int64)
             if starts:
                 centre = None
             if starts and ends and len(node) <= SMALL:
                 tree = RTree(points, sizes)
                 for i in range(len(node) - 1):
-                    for j in tree.near(points[i], n[i], percent):
-                        if j > i:
-                            out.add(node[i], node[int(j)])
+                    near = tree.near(points[i], n[i], percent)
+                    near = near[near > i]
+                    bound = fine_bound(fine[i], [fine[int(j)] for j in near])
+                    for j in near[bound >= overlap_needed(sizes[near], n[i], percent)]:
+                        out.add(node[i], node[int(j)])
             else:
                 if centre is None:
                     mid = np.abs(points - np.median(points, axis=0)).sum(axis=1)
                     c = int(np.lexsort((np.array(node), mid))[0])
-                    centre = (node[c], points[c], n[c])
-                ok = np.minimum(points, centre[1]).sum(axis=1) >= overlap_needed(sizes, centre[2], percent)
-                for j in np.flatnonzero(ok):
+                    centre = (node[c], points[c], n[c], fine[c])
+                need = overlap_needed(sizes, centre[2], percent)
+                near = np.flatnonzero(np.minimum(points, centre[1]).sum(axis=1) >= need)
+                bound = fine_bound(centre[3], [fine[int(j)] for j in near])
+                for j in near[bound >= need[near]]:
                     out.add(centre[0], node[int(j)])
             if len(out.a) > 50_000:
                 yield from out.take(schema)
@@ -416,8 +420,9 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     arrow_batches(spark)
     pair_schema = arrow_schema("a bigint, b bigint")
 
-    info = sets.where("id is not null").select("node", "n", "point").dropDuplicates(["node"])
-    rows = blocks.join(info, "node").select("block", "n", "node", "point")
+    info = sets.where("id is not null").select("node", "n", "point", "fine")
+    info = info.join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = blocks.join(info, "node").select("block", "n", "node", "point", "fine")
     first = stored(rows.repartition(spread, "block").sortWithinPartitions("block", "n", "node").mapInArrow(_first_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
     links = stored(verified(docs, sets, first, percent, width, key, text))
     roots = stored(components(links))
