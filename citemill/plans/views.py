@@ -56,11 +56,8 @@ VIEWS = {
                w.year, w.outlet, w.citations, w.retracted, concat('T', CAST(w.work_id % 23 AS STRING), ',T', CAST(w.work_id % 19 AS STRING)) AS topics
         FROM refs r JOIN works w ON r.work_id = w.work_id
         JOIN (SELECT refs.doc_id, works.doi FROM refs JOIN works ON refs.work_id = works.work_id WHERE refs.n = 1) f ON f.doc_id = r.doc_id""",
-    # lines of the documents
-    "manuscripts": """
-        SELECT doc_id, concat('Body text.', chr(10), chr(10), 'References', chr(10), chr(10)) AS head FROM documents""",
 }
-NEEDS = {"works": [], "refs": [], "entries": ["refs", "works"], "markers": ["refs"], "author_markers": ["markers", "refs", "works"], "checked": ["refs", "works"], "manuscripts": []}
+NEEDS = {"works": [], "refs": [], "entries": ["refs", "works"], "markers": ["refs"], "author_markers": ["markers", "refs", "works"], "checked": ["refs", "works"]}
 
 
 def closed(names) -> list[str]:
