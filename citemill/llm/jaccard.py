@@ -16,11 +16,11 @@ the points are packed in an R-tree; the overlap of two sets is at most the sum o
 their coordinates' minima, and that of a set and a box at most the sum with the
 box's upper corner, so whole boxes are skipped.
 
-*Verification.*  Surviving pairs are compared on the whole sets.  Small blocks give all
-their surviving pairs; large ones first tie their rows to the one nearest the middle of
-them, and after components are known, rows outside a block's largest component meet the
-rows of others, in parts of bounded size and behind a second bound of about one group a
-shingle.  So a family of thousands of near copies costs rows, not pairs, and no link
+*Verification.*  Surviving pairs are compared on the whole sets.  First each node meets
+others in its largest and its smallest block only: small ones give all surviving pairs,
+large ones tie their rows to the one nearest the middle of them.  After components are
+known, in every block the rows outside its largest component meet the rows of others, in
+parts of bounded size and behind a second bound of finer groups.  So a family of thousands of near copies costs rows, not pairs, and no link
 between components is lost.
 """
 
@@ -176,8 +176,8 @@ def _blocks(batches, out):
 
 
 def fine_counts(h: np.ndarray) -> bytes | None:
-    """Counts over about as many groups as there are shingles, a byte each; None if one is too large."""
-    m = 1 << min(13, max(6, len(h).bit_length() - 1))
+    """Counts over about half as many groups as there are shingles, a byte each; None if one is too large."""
+    m = 1 << min(13, max(5, len(h).bit_length() - 2))
     counts = np.bincount(((h >> np.uint64(8)) & np.uint64(m - 1)).astype(np.int64), minlength=m)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
@@ -229,8 +229,16 @@ def _segments(batches, columns: int, most: int):
         yield held, starts, True
 
 
+def point_of(h: np.ndarray) -> bytes:
+    """Counts over GROUPS groups, of a byte each where they fit, else of four."""
+    counts = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else "<i4").tobytes()
+
+
 def _points(point: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(point), dtype="<i4").reshape(len(point), GROUPS)
+    if all(len(p) == GROUPS for p in point):
+        return np.frombuffer(b"".join(point), np.uint8).reshape(len(point), GROUPS).astype(np.int32)
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<i4").astype(np.int32) for p in point])
 
 
 class _Emitted:
@@ -404,7 +412,7 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
             h = shingles(t, width)
             out["n"].append(len(h))
             out["node"].append(node_of(h) if len(h) else None)
-            out["point"].append(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes() if len(h) else None)
+            out["point"].append(point_of(h) if len(h) else None)
             out["fine"].append(fine_counts(h) if len(h) else None)
             out["keys"].append(group_keys(h, bands) if len(h) else None)
         return out
@@ -420,15 +428,17 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     arrow_batches(spark)
     pair_schema = arrow_schema("a bigint, b bigint")
 
-    info = sets.where("id is not null").select("node", "n", "point", "fine")
-    info = info.join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    rows = blocks.join(info, "node").select("block", "n", "node", "point", "fine")
+    # first each node in its largest block and in its smallest, which join up most components
+    sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("k")), "block")
+    near = sized.groupBy("node").agg(F.array_distinct(F.array(F.max_by("block", F.struct("k", "block")), F.min_by("block", F.struct("k", "block")))).alias("bs"))
+    near = stored(near.select("node", F.explode("bs").alias("block")))
+    info = sets.where("id is not null").select("node", "n", "point", "fine").join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = near.join(info, "node").select("block", "n", "node", "point", "fine")
     first = stored(rows.repartition(spread, "block").sortWithinPartitions("block", "n", "node").mapInArrow(_first_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
     links = stored(verified(docs, sets, first, percent, width, key, text))
     roots = stored(components(links))
-    # blocks whose rows weren't all compared: rows outside a block's largest component meet all others of it
-    large = blocks.groupBy("block").count().where(F.col("count") > SMALL).select("block")
-    rest = blocks.join(large, "block", "left_semi").join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
+    # then, in every block, rows outside its largest component meet all others of it
+    rest = blocks.join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
     parts = stored(rest.groupBy("block", "comp").agg(F.count("*").alias("k")))
     main = parts.groupBy("block").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("m")).where("k > m")
     if not main.isEmpty():
