@@ -16,8 +16,8 @@ the points are packed in an R-tree; the overlap of two sets is at most the sum o
 their coordinates' minima, and that of a set and a box at most the sum with the
 box's upper corner, so whole boxes are skipped.
 
-*Verification.*  Surviving pairs are compared on the whole sets.  First each node meets
-others in its largest and its smallest block only: small ones give all surviving pairs,
+*Verification.*  Surviving pairs are compared on the whole sets.  First only those
+blocks are used that are some node's largest or smallest: small ones give all surviving pairs,
 large ones tie their rows to the one nearest the middle of them.  After components are
 known, in every block the rows outside its largest component meet the rows of others, in
 parts of bounded size and behind a second bound of finer groups.  So a family of thousands of near copies costs rows, not pairs, and no link
@@ -428,10 +428,10 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     arrow_batches(spark)
     pair_schema = arrow_schema("a bigint, b bigint")
 
-    # first each node in its largest block and in its smallest, which join up most components
+    # first the blocks that are some node's largest or smallest, which join up most components
     sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("k")), "block")
-    near = sized.groupBy("node").agg(F.array_distinct(F.array(F.max_by("block", F.struct("k", "block")), F.min_by("block", F.struct("k", "block")))).alias("bs"))
-    near = stored(near.select("node", F.explode("bs").alias("block")))
+    chosen = sized.groupBy("node").agg(F.array(F.max_by("block", F.struct("k", "block")), F.min_by("block", F.struct("k", "block"))).alias("bs")).select(F.explode("bs").alias("block")).distinct()
+    near = stored(blocks.join(chosen, "block", "left_semi"))
     info = sets.where("id is not null").select("node", "n", "point", "fine").join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     rows = near.join(info, "node").select("block", "n", "node", "point", "fine")
     first = stored(rows.repartition(spread, "block").sortWithinPartitions("block", "n", "node").mapInArrow(_first_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
