@@ -28,23 +28,59 @@ def search(queries: DataFrame, works: DataFrame, *, k: int = CANDIDATES, most_po
     """The k works that share most title tokens with each query: (doc_id, n, rank, doi, score).
 
     An inverted index joins query tokens to works; ties go to the smaller DOI, score is the
-    token containment.  Tokens that more than ``most_postings`` works have count for
-    ranking only among works that share a rarer one; a query of common tokens alone
-    is answered by its rarest.
+    token containment.  ``most_postings`` parts rare tokens from common ones and has no
+    bearing on the result.  Works that share a rare token are joined to the query by it.
+    The others share common tokens alone, so works of equal common tokens rank by DOI,
+    and the first k of each such class stand for it (see ``best_of_classes``).
     """
-    w = works.select("doi", tokens(F.col("title")).alias("wt")).withColumn("t", F.explode("wt"))
-    df = w.groupBy("t").agg(F.count("*").alias("df"))
+    w = works.select("doi", tokens(F.col("title")).alias("wt")).distinct()
     # equal titles are searched once
-    q = queries.select("title").where("title is not null").distinct().withColumn("qt", tokens(F.col("title"))).withColumn("t", F.explode("qt")).join(df, "t")
-    rarest = F.min("df").over(Window.partitionBy("title"))
-    q = q.withColumn("least", rarest).where((F.col("df") <= most_postings) | (F.col("df") == F.col("least")))
-    pairs = q.join(w, "t").groupBy("title", "doi").agg(F.first("qt").alias("qt"), F.first("wt").alias("wt"))
-    shared = F.size(F.array_intersect("qt", "wt"))
-    rank = F.row_number().over(Window.partitionBy("title").orderBy(F.desc("shared"), "doi"))
-    found = pairs.withColumn("shared", shared).withColumn("rank", rank).where(F.col("rank") <= k).select("title", F.col("rank").cast("bigint").alias("rank"), "doi", containment(F.col("qt"), F.col("wt")).alias("score"))
+    q = queries.select("title").where("title is not null").distinct().withColumn("qt", tokens(F.col("title")))
+    held, asked = w.withColumn("t", F.explode("wt")), q.withColumn("t", F.explode("qt"))
+    common = held.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > most_postings).select("t")
+    by_rare = asked.join(held.join(common, "t", "left_anti"), "t").select("title", "qt", "doi", "wt")
+    class_of = lambda d, *keys: d.join(common, "t").groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("c"))
+    qc = class_of(asked, "title", "qt")
+    by_common = qc.join(best_of_classes(qc.select("c").distinct(), class_of(held, "doi", "wt"), k), "c").select("title", "qt", "doi", "wt")
+    pairs = by_rare.unionByName(by_common).distinct().withColumn("shared", F.size(F.array_intersect("qt", "wt")))
+    found = first_k(pairs, "title", k).select("title", F.col("rank").cast("bigint").alias("rank"), "doi", containment(F.col("qt"), F.col("wt")).alias("score"))
     return queries.select("doc_id", "n", "title").join(found, "title").select("doc_id", "n", "rank", "doi", "score")
 
 
+def first_k(pairs: DataFrame, key: str, k: int) -> DataFrame:
+    """Of each key the k rows with most ``shared``, then the smallest DOI."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("shared"), "doi", "wt"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def best_of_classes(asked: DataFrame, works: DataFrame, k: int) -> DataFrame:
+    """The k works (doi, wt) that share most of each token set c in ``asked``: (c, doi, wt, shared, rank).
+
+    Works (doi, wt, c) of equal c share alike, so k of them stand for all.  The tokens
+    of a set are read from the rarest on: the first gives a k-th shared count s, and
+    a work that shares s tokens or more has one of the first ``size(c) - s + 1``,
+    so no more are read.
+    """
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("doi", "wt"))
+    held = works.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("c").agg(F.collect_list(F.struct("doi", "wt")).alias("reps"))
+    held = held.select(F.col("c").alias("h"), "reps", F.explode("c").alias("t"))
+    read = asked.select("c", F.explode("c").alias("t")).join(held.groupBy("t").agg(F.count("*").alias("df")), "t")
+    # tokens by rising number of classes, then the place of each
+    read = read.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x.t).alias("o"))
+    places = read.select("c", "o", F.posexplode("o").alias("place", "t"))
+
+    def met(tokens_read: DataFrame) -> DataFrame:
+        # a pair is met at the first token it shares
+        both = F.array_intersect("o", "h")
+        met_at = tokens_read.join(held, "t").withColumn("both", both).where(F.get("both", F.lit(0)) == F.col("t"))
+        return met_at.select("c", F.size("both").alias("shared"), F.explode("reps").alias("r")).select("c", "shared", "r.doi", "r.wt")
+
+    first = first_k(met(places.where("place = 0")), "c", k)
+    least = first.groupBy("c").agg(F.when(F.count("*") == k, F.min("shared")).otherwise(1).alias("s"))
+    rest = places.where("place > 0").join(least, "c").where(F.col("place") <= F.size("c") - F.col("s")).select("c", "o", "t")
+    return first_k(first.select("c", "shared", "doi", "wt").unionByName(met(rest)), "c", k)
+
+
 def merge_by_doi(candidates: DataFrame) -> DataFrame:
     """Candidates of one DOI (in lower case) become the best with its blanks filled from
     the others in order; retracted is true if any says so, null if none says anything;

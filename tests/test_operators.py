@@ -1,5 +1,6 @@
 """Operators on small literal rows."""
 
+import random
 import time
 
 import pytest
@@ -216,3 +217,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q = reviews.to_memory(stream, "latest_reviews")
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("latest_reviews").collect())) == sorted(map(tuple, reviews.latest_stream(df).collect())) == [(1, 1, 2, "reopen"), (1, 2, 1, "reject")]
+
+
+@pytest.mark.parametrize(("seed", "cut"), [(1, 0), (2, 5), (3, 30), (4, 200)])
+def test_title_search_is_whole(spark, seed, cut):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(12)]
+    works = [(f"10.{rnd.randrange(10**6)}/{i}", " ".join(rnd.choices(words, weights=range(1, 13), k=rnd.randrange(7))) + (f" r{i}" if i % 3 == 0 else "")) for i in range(600)]
+    titles = [None, "", "W11", "nowhere", "w11 w10 w9 r3", *(" ".join(rnd.choices(words, k=rnd.randrange(1, 6))) + rnd.choice(["", f" r{i}", " unknown"]) for i in range(60))]
+    queries = spark.createDataFrame([(1, n, t) for n, t in enumerate(titles)], "doc_id long, n long, title string")
+    got = {(r.n, r.rank): (r.doi, round(r.score, 6)) for r in vf.search(queries, spark.createDataFrame(works, "doi string, title string"), most_postings=cut).collect()}
+    expected = {}
+    for n, t in enumerate(titles):
+        a = set((t or "").lower().split())
+        best = sorted((-len(a & set(b.split())), d, b) for d, b in works if a & set(b.split()))[:3]
+        expected |= {(n, i + 1): (d, round(-c / min(len(a), len(set(b.split()))), 6)) for i, (c, d, b) in enumerate(best)}
+    assert got == expected and len(expected) > 100
