@@ -62,27 +62,30 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def mine(labelled: DataFrame, *, min_support: float, min_confidence: float, max_rules: int, longest: int) -> list[tuple[list[str], str, float, float]]:
+def mine(labelled: DataFrame, *, min_support: float, min_confidence: float, max_rules: int | None = None, longest: int | None = None) -> list[tuple[list[str], str, float, float]]:
     """Rules (tokens, verdict, confidence, support), best first, from rows (tokens, label).
 
-    FP-growth runs over all labelled rows, distributed; ``min_support`` and
-    ``longest`` bound what it finds and ``max_rules`` what is kept, so little
-    reaches the driver.  A rule is kept if no rule on part of its tokens
-    has the same verdict with at least its confidence.
+    FP-growth runs over all labelled rows, distributed; ``min_support`` bounds what it
+    finds.  A rule is kept if no rule on part of its tokens has the same verdict with
+    at least its confidence; the driver holds the kept ones and a partition of the
+    others.  ``longest`` and ``max_rules``, where given, cut further.
     """
     items = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).freqItemsets
     n = items.count()
     is_label = lambda x: x.startswith("=")
     split = sets.select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("tokens"), F.get(F.transform(F.filter("items", is_label), lambda x: F.substring(x, 2, 1_000)), 0).alias("verdict"), "freq")
-    split = split.where((F.size("tokens") > 0) & (F.size("tokens") <= longest))
+    split = split.where(F.size("tokens").between(1, longest) if longest is not None else F.size("tokens") > 0)
     whole = split.where("verdict is null").select("tokens", F.col("freq").alias("seen"))
     scored = split.where("verdict is not null").join(whole, "tokens").withColumn("confidence", F.col("freq") / F.col("seen")).where(F.col("confidence") >= min_confidence)
-    found = scored.orderBy(F.size("tokens"), F.desc("confidence"), F.desc("freq"), "tokens", "verdict").limit(max_rules * 20).collect()
+    found = scored.orderBy(F.size("tokens"), F.desc("confidence"), F.desc("freq"), "tokens", "verdict")
     kept: list = []
-    for r in found:  # short ones first, so parts come before what holds them
-        if not any(v == r["verdict"] and set(t) <= set(r["tokens"]) and c >= r["confidence"] for t, v, c, _ in kept):
-            kept.append((list(r["tokens"]), r["verdict"], r["confidence"], r["freq"] / n))
+    at: dict = {}  # kept rules by verdict and first token
+    for r in found.toLocalIterator():  # short ones first, so parts come before what holds them
+        has, v, c = set(r["tokens"]), r["verdict"], r["confidence"]
+        if not any(ts <= has and least >= c for t in has for ts, least in at.get((v, t), ())):
+            kept.append((list(r["tokens"]), v, c, r["freq"] / n))
+            at.setdefault((v, r["tokens"][0]), []).append((has, c))
     return sorted(kept, key=lambda r: (-r[2], -r[3], r[0], r[1]))[:max_rules]
 
 
@@ -102,15 +105,15 @@ def indexed_match(tokens: Column, mined: list) -> Column:
     return F.array_min(full)
 
 
-def judge(pages: DataFrame, *, key: str = "page_id", url: str = "url", rules=RULES, default: str = ALLOW, min_support: float = 0.01, min_confidence: float = 0.8, max_rules: int = 64, longest: int = 3) -> DataFrame:
+def judge(pages: DataFrame, *, key: str = "page_id", url: str = "url", rules=RULES, default: str = ALLOW, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
     """Judge every URL: key, host, path, rule (like ``net/``, else null), verdict, and
     the tokens of the mined rule that decided (``mined``, else null).
 
     A fixed rule decides first; else the best mined rule; else ``default``.  Null URLs
     and those without ``://`` have empty host and path and get the default; repeated
     rows give repeated rows; an empty table, or none that a rule fits, mines
-    nothing; other columns are ignored.  No row is shuffled: the mined rules are at
-    most ``max_rules`` and travel in the plan.
+    nothing; other columns are ignored.  No row is shuffled: all mined rules travel in
+    the plan.
     """
     u = F.col(url).cast("string")
     base = pages.select(F.col(key), u.alias("u")).select(key, "u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
@@ -118,7 +121,7 @@ def judge(pages: DataFrame, *, key: str = "page_id", url: str = "url", rules=RUL
     verdicts, names = F.array(*[F.lit(r[0]) for r in rules]), F.array(*[F.lit(r[1] + r[2]) for r in rules])
     tokens = tokens_of(F.col("u"), F.col("host"), F.col("path"))
     labelled = base.where("fit is not null").select(tokens.alias("tokens"), F.get(verdicts, F.col("fit")).alias("label"))
-    mined = mine(labelled, min_support=min_support, min_confidence=min_confidence, max_rules=max_rules, longest=longest) if not labelled.isEmpty() else []
+    mined = mine(labelled, min_support=min_support, min_confidence=min_confidence) if not labelled.isEmpty() else []
     out = base.withColumn("hit", F.when(F.col("fit").isNull(), indexed_match(tokens, mined)))
     by = F.array(*[F.lit(r[1]) for r in mined]) if mined else F.array().cast("array<string>")
     said = F.array(*[F.lit(" ".join(r[0])) for r in mined]) if mined else F.array().cast("array<string>")

@@ -315,6 +315,21 @@ def test_mining_against_counting(spark):
         assert confidence == pytest.approx(having.count(verdict) / len(having)) and support == pytest.approx(having.count(verdict) / len(rows)) and confidence >= 0.7
 
 
+def test_every_mined_rule_is_kept(spark):
+    rules = [("block", "a.org", "/"), ("allow", "b.org", "/")]
+    word = lambda i: "w" + chr(97 + i // 26) + chr(97 + i % 26)
+    urls = [f"http://{'ab'[i % 2]}.org/{word(i)}" for i in range(160) for _ in range(2)] + [f"http://c.net/{word(i)}" for i in range(160)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, min_support=0.005)
+    assert {r.page_id - 320: (r.verdict, r.mined) for r in got.where("page_id >= 320").collect()} == {i: (("block", "allow")[i % 2], f"p0:{word(i)}") for i in range(160)}
+
+
+def test_rules_of_any_length(spark):
+    rules, names = [("block", "a.org", "/"), ("allow", "b.org", "/")], "abcde"
+    urls = ["http://a.org/?" + "&".join(names)] * 10 + ["http://b.org/?" + "&".join(names.replace(x, "")) for x in names for _ in range(10)] + ["ftp://c.net/?" + "&".join(names)]
+    last = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).where("page_id = 60").first()
+    assert (last.verdict, last.mined) == ("block", "q:a q:b q:c q:d q:e")
+
+
 # -- chat --------------------------------------------------------------------------------------
 TRICKY = ["\\### Assistant: </turn> ok", "", "\\", "\\\\### x: y </turn>\n", "a: b", " </turn>\n### user: z", "### ", "line\nline", "🙂" * 3]
 
