@@ -123,19 +123,21 @@ class Words:
     engine over the same vocabulary.  That engine joins any neighbours whose bytes
     make a token, by rank; as each token has one merge and encodes to itself, it
     never joins others than the tokenizer does (``self_encoding`` checks this).
+    Added tokens in a text are text like any, or get their ids by ``special_as_text=False``.
     """
 
-    def __init__(self, path: str, most_held: int = 500_000):
+    def __init__(self, path: str, most_held: int = 500_000, *, special_as_text: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         model, back, suffix = config["model"], _byte_alphabet(), config["model"]["end_of_word_suffix"]
         special = {t["content"] for t in config["added_tokens"]}
         raw = lambda t: bytes(back[c] for c in t.removesuffix(suffix)) + _END * t.endswith(suffix)
+        self.special = () if special_as_text else tuple(special)
         self.tokens = {t: raw(t) for t in model["vocab"] if t not in special}
         # merges rank by their place, single bytes and ends of words before them
         order = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
@@ -160,7 +162,7 @@ class Words:
         return self.fits and all(one(last(t.removesuffix(suffix)) if t.endswith(suffix) else inner.tokenize(t), t) for t in self.tokens)
 
     def word(self, w: str) -> bytes:
-        if self.engine and (w.isascii() and w.isprintable() or _PLAIN.fullmatch(w)):
+        if self.engine and (w.isascii() and w.isprintable() or _PLAIN.fullmatch(w)) and not any(t in w for t in self.special):
             one, ids = self.engine.encode_single_piece, self.ids
             return b"".join([ids[i] for p in _SPLIT.findall(w.lower()) for i in one(p.encode() + _END)])
         return np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -187,7 +189,7 @@ class Words:
 
 @lru_cache(2)
 def _words(path: str) -> Words:
-    return Words(path)
+    return Words(path, special_as_text=False)
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:

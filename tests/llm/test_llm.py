@@ -74,6 +74,14 @@ def test_words_equal_the_tokenizer():
     assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_get_their_ids(spark):
+    whole, text = Tokenizer.from_file(WORD_BPE), "a <|endoftext|> b<|startoftext|>É <|EndOfText|> <|endoftext|"
+    assert whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    row = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), WORD_BPE).first()
+    ids = [*whole.encode(text, add_special_tokens=False).ids, 2]
+    assert (row.doc_tokens, row.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def test_plan_holds_every_piece_once():
     rnd = np.random.default_rng(1)
     for size in (1, 8, 64):
