@@ -374,7 +374,8 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, w
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of all linked nodes, root the component's least node: alternating
-    large-star and small-star steps, each stored in the shared folder."""
+    large-star and small-star steps, each stored in the shared folder.  Raises if
+    ``rounds`` of them don't settle the edges."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     last = None
     for _ in range(rounds):
@@ -390,6 +391,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 

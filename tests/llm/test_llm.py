@@ -199,6 +199,13 @@ def linked_components(docs, width, percent):
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
+def test_components_never_stop_short(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    assert {r.root for r in jaccard.components(links).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        jaccard.components(links, rounds=2)
+
+
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_against_all_pairs(spark, width, percent):
     rnd = random.Random(width)
