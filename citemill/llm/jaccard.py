@@ -404,13 +404,20 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     key get the component of an equal text that has one, else null.  An empty
     table gives an empty result; other columns are ignored.
     """
+    placed = _placed(docs, key=key, text=text, width=width, percent=percent, most_rows=most_rows)
+    return placed.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _placed(docs: DataFrame, *, key: str, text: str, width: int = 4, percent: int = 85, most_rows: int = 8_192) -> DataFrame:
+    """``join_classes`` as (id, digest, n, component_id, kept): digest is of the text, and
+    kept that of the text which stands for the component, null where there is none."""
     spark = docs.sparkSession
     arrow_batches(spark)
     bands = Bands(percent)
     kind = docs.schema[key].dataType.simpleString()
 
     def describe(cols):
-        out = {"id": cols["id"], "n": [], "node": [], "point": [], "fine": [], "keys": []}
+        out = {"id": cols["id"], "digest": cols["digest"], "n": [], "node": [], "point": [], "fine": [], "keys": []}
         for t in cols["t"]:
             h = shingles(t, width)
             out["n"].append(len(h))
@@ -420,8 +427,8 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
             out["keys"].append(group_keys(h, bands) if len(h) else None)
         return out
 
-    base = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
-    sets = stored(arrow_map(base, describe, f"id {kind}, n bigint, node bigint, point binary, fine binary, keys array<bigint>"))
+    base = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"), _digest(text).alias("digest"))
+    sets = stored(arrow_map(base, describe, f"id {kind}, digest bigint, n bigint, node bigint, point binary, fine binary, keys array<bigint>"))
 
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     keyed = sets.where("node is not null and id is not null").select(F.explode("keys").alias("key"), "node")
@@ -459,12 +466,26 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
         more = stored(both.repartition(spread, "part").sortWithinPartitions("part", "kind", "n", "node").mapInArrow(_between_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
         if not more.isEmpty():
             roots = components(links.union(verified(docs, sets, more, percent, width, key, text)))
-    placed = sets.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "root", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    placed = sets.select("id", "digest", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.where("root is not null and id is not null").groupBy("root").agg(F.min(F.struct("id", "digest")).alias("least"))
+    return placed.join(least, "root", "left").select("id", "digest", "n", F.coalesce("least.id", "id").alias("component_id"), F.col("least.digest").alias("kept"))
+
+
+def _digest(text: str):
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def keep_representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_broadcast: int = 1_000_000, **how) -> DataFrame:
-    """Rows of ``docs`` but those that a linked document of a smaller key stands for."""
-    gone = stored(join_classes(docs, key=key, text=text, **how).where(F.col(key) != F.col("component_id")).select(key).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, key, "left_anti").select(*docs.columns)
+    """One row of ``docs`` a component: of the least key, and there of the least digest of
+    a text.  Rows that repeat a key and text become one, any of them; other texts of
+    one key are judged on their own; rows without a key stay."""
+    rows = stored(_placed(docs, key=key, text=text, **how).where("id is not null").select(F.col("id").alias(key), F.col("digest").alias("__digest"), ((F.col("id") != F.col("component_id")) | F.coalesce(F.col("digest") != F.col("kept"), F.lit(False))).alias("gone")))
+    gone = stored(rows.where("gone").drop("gone").distinct())
+    again = stored(rows.where("not gone").groupBy(key, "__digest").count().where("count > 1").drop("count"))
+    near = lambda d: F.broadcast(d) if d.count() <= most_broadcast else d
+    out = docs.withColumn("__digest", _digest(text)).join(near(gone), [key, "__digest"], "left_anti")
+    if not again.isEmpty():
+        again = near(again)
+        once = out.join(again, [key, "__digest"], "left_semi").dropDuplicates([key, "__digest"])
+        out = out.join(again, [key, "__digest"], "left_anti").unionByName(once)
+    return out.select(*docs.columns)
