@@ -64,7 +64,7 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\|###|</turn>|:)", r"\1", text)
 
 
-def trees(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn_role: str = "assistant", depth: int = 8, most_conversations: int = 512, most_chars: int = 1 << 20) -> DataFrame:
+def trees(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn_role: str = "assistant", most_conversations: int = 512, most_chars: int = 1 << 20) -> DataFrame:
     """Packs (text, nodes) of all conversations.
 
     Null role or text counts as empty, a null turn comes first, rows of one turn number
@@ -79,16 +79,15 @@ def trees(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn"
     turns = F.array_sort(F.collect_list(F.struct(F.col(turn).cast("long").alias("i"), s(role).alias("role"), s(text).alias("text"))))
     turns = F.concat(F.filter(turns, lambda x: x.i.isNull()), F.filter(turns, lambda x: x.i.isNotNull()))
     whole = conversations.groupBy(F.col(conv).cast("long").alias("c")).agg(turns.alias("turns"))
-    # the chain of hashes of the first ``depth`` prefixes, one long each; equal prefixes, equal longs
+    # the chain of hashes of all prefixes, one long each; equal prefixes, equal longs
     links = F.aggregate(
-        F.slice("turns", 1, depth),
+        "turns",
         F.array().cast("array<bigint>"),
         lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x.role, x.text))),
     )
     ordered = whole.withColumn("chain", links)
-    at = [F.get("chain", F.lit(k)) for k in range(depth)]
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ordered.withColumns({f"k{k}": c for k, c in enumerate(at)}).repartitionByRange(n, *[f"k{k}" for k in range(depth)], "c").sortWithinPartitions(*[f"k{k}" for k in range(depth)], "c").select("c", "turns")
+    ordered = ordered.repartitionByRange(n, "chain", "c").sortWithinPartitions("chain", "c").select("c", "turns")
     out = arrow_schema(PACK)
 
     def run(batches):

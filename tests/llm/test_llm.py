@@ -390,6 +390,16 @@ def test_trees(spark):
     assert chat.read_back(chat.trees(df.where("conv_id < 0"))).count() == 0
 
 
+def test_long_conversations_share_all_their_turns(spark):
+    # even and odd ones part at the tenth turn
+    rows = [(c, i, "user", f"turn {i}" + " of one half" * (i >= 9) * (c % 2) + f" of {c}" * (i == 11)) for c in range(20) for i in range(12)]
+    packs = chat.trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for p in packs:
+        held = [c for n in p.nodes for c in n.conversations]
+        assert len(p.nodes) == len({tuple(t[3] for t in rows[12 * c : 12 * c + k]) for c in held for k in range(1, 13)})
+    assert sum(len(n.conversations) for p in packs for n in p.nodes) == 20
+
+
 # -- quality ---------------------------------------------------------------------------------
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
