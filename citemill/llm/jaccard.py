@@ -4,24 +4,26 @@ A document's set holds its distinct word shingles (64-bit hashes); equal sets fo
 one node (named by a 64-bit digest), so exact copies cost one row each.  Two nodes
 link when ``100 * |A & B| >= percent * |A | B|``.
 
-*Leaves.*  Shingles are hashed into ``m`` groups, ``m`` by size band.  Linked sets
-differ in at most ``D`` shingles, so of more than ``D`` groups one that isn't empty
-is alike in both: nodes that share a group's whole content meet in a block.
-(Sets with so many empty groups that this fails name their empty groups as well, and
-find each other there.)  No pair is missed, and a passage that many documents
-share brings no two together, as it fills no group alone.
-
-*Points.*  A node's counts over ``GROUPS`` further groups are a point.  In each block
-the points are packed in an R-tree; the overlap of two sets is at most the sum of
+*Blocks.*  All shingles have one order over the whole corpus: by the class of how
+often their hash's bucket occurs (counted over all documents), then by hash.  A set
+of n needs an overlap of ``percent * n / 100`` at least, so of a linked pair's sets
+each has a common shingle among its first ``n - needed + 1``: nodes that share such
+a leading shingle meet in a block.  No pair is missed, and a passage that many
+documents share comes last in their order and brings no two together.
+
+*Points.*  A node's counts over ``GROUPS`` groups of its hashes are a point.  In each
+block the points are packed in an R-tree; the overlap of two sets is at most the sum of
 their coordinates' minima, and that of a set and a box at most the sum with the
-box's upper corner, so whole boxes are skipped.
+box's upper corner, so whole boxes are skipped.  Pairs it leaves are bounded again by
+counts over two to four cells a shingle (two bits each, saturating).
 
 *Verification.*  Surviving pairs are compared on the whole sets.  First only those
-blocks are used that are some node's largest or smallest: small ones give all surviving pairs,
-large ones tie their rows to the one nearest the middle of them.  After components are
-known, in every block the rows outside its largest component meet the rows of others, in
-parts of bounded size and behind a second bound of finer groups.  So a family of thousands of near copies costs rows, not pairs, and no link
-between components is lost.
+blocks are used that are some node's largest or smallest, and each row goes with the one
+row before it that its bound is best with, so a family of thousands of near copies costs
+rows, not pairs.  After components are known, in every block the rows outside its
+largest component meet the rows of others, in parts of bounded size.  A pair is
+tried in one block only, that of the least of its nodes' common first keys, so no
+link between components is lost and none is tried over and over.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from citemill.llm.common import arrow_batches, arrow_map, arrow_schema, record_batch, stored
 
-GROUPS, LEAF, SMALL = 32, 16, 4
+GROUPS, LEAF = 32, 16
+#: Buckets of hashes that corpus counts are kept for (a number each on the driver), and keys that tell where a pair is tried.
+BUCKETS, FIRST_KEYS = 1 << 18, 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -56,49 +60,44 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-class Bands:
-    """Size bands and the number of groups of each; exact for ``percent``."""
+def overlap_needed(a, b, percent: int):
+    """Least overlap of linked sets of sizes a and b: ceil(percent * (a + b) / (100 + percent))."""
+    return -(-(a + b) * percent // (100 + percent))
 
-    def __init__(self, percent: int, ratio: float = 1.5):
-        self.percent = percent
-        self.edges = [1]
-        while self.edges[-1] < 2**40:
-            self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * ratio)))
-        self.most = [self.differ(e - 1, (e - 1) * 100 // percent) for e in self.edges[1:]]
 
-    def differ(self, a: int, b: int) -> int:
-        """Most shingles that linked sets of these sizes can differ in."""
-        return (a + b) * (100 - self.percent) // (100 + self.percent)
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
-    def of(self, n: int) -> list[int]:
-        """Bands in which a set of n shingles can be one of a linked pair."""
-        k = int(np.searchsorted(self.edges, n, side="right")) - 1
-        least = -(-n * self.percent // 100)
-        out = [k]
-        while k and least < self.edges[k]:
-            out.append(k := k - 1)
-        return [k for k in out if self.most[k]]  # where nothing may differ, equal sets are one node already
 
+def classes(counts: np.ndarray) -> np.ndarray:
+    """Class of each bucket: 0 where it holds no more than chance gives, one more for each doubling."""
+    low, mid, high = np.quantile(counts, (0.25, 0.5, 0.75))
+    over = np.maximum(counts - mid, 0) // (16 + 4 * (high - low))
+    return np.ceil(np.log2(over + 1)).astype(np.uint8)
 
-def overlap_needed(a, b, percent: int):
-    """Least overlap of linked sets of sizes a and b: ceil(percent * (a + b) / (100 + percent))."""
-    return -(-(a + b) * percent // (100 + percent))
 
+def leading(h: np.ndarray, percent: int, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set that a linked set must share one of, in the corpus's order."""
+    n = len(h)
+    return h[np.argsort(rank[bucket_of(h)], kind="stable")[: n + 1 + -n * percent // 100]].view(np.int64)
 
-def group_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    keys = []
-    content = _mix(h ^ _M2)
-    for k in bands.of(len(h)):
-        most = bands.most[k]
-        m = int((most + 1) * 1.04) + 3
-        g = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # h is sorted, so g is
-        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        tag = np.uint64(k << 40)
-        keys.append(_mix(np.add.reduceat(content, starts) ^ _mix(g[starts] + tag)))
-        if len(starts) <= most:  # too many empty groups for the guarantee
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), g[starts])
-            keys.append(_mix(_mix(empty + tag) + np.uint64(1)))
-    return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+
+def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """How many documents' shingles fall in each bucket: one vector a task, summed by bucket."""
+    schema = arrow_schema("bucket int, c bigint")
+
+    def count(batches):
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(total, bucket_of(shingles(t.as_py(), width)), 1)
+        some = np.flatnonzero(total)
+        yield record_batch(schema, [some, total[some]])
+
+    found = docs.select(F.col(text).cast("string")).mapInArrow(count, "bucket int, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("c").to_numpy()
+    return out
 
 
 def node_of(h: np.ndarray) -> int:
@@ -135,8 +134,8 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches, out):
-    """Sorted (key, node) rows -> (block, node) of each key with several nodes; keys
-    with the same nodes give one block."""
+    """Sorted (key, node) rows -> (block, node, key) of each key with several nodes; keys
+    with the same nodes give one block, under the least of them."""
     seen: set = set()
     tail_k, tail_v = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -144,20 +143,21 @@ def _blocks(batches, out):
         starts = _runs(k)
         ends = np.append(starts[1:], len(k))
         keep = np.flatnonzero(ends - starts > 1)
-        blocks, nodes = [], []
+        blocks, nodes, keys = [], [], []
         for i in keep:
             run = v[starts[i] : ends[i]]
             if run[0] != run[-1]:  # sorted: else copies of one node
                 run = run[_runs(run)]
                 block = int(np.add.reduce(_mix(run.view(np.uint64))).view(np.int64))
                 if block not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(block)
                     blocks.append(np.full(len(run), block))
                     nodes.append(run)
+                    keys.append(np.full(len(run), k[starts[i]]))
         if blocks:
-            yield record_batch(out, [np.concatenate(blocks), np.concatenate(nodes)])
+            yield record_batch(out, [np.concatenate(blocks), np.concatenate(nodes), np.concatenate(keys)])
 
     for batch in batches:
         k = np.concatenate([tail_k, batch.column(0).to_numpy()])
@@ -175,32 +175,42 @@ def _blocks(batches, out):
         yield from closed(tail_k, tail_v)
 
 
-def fine_counts(h: np.ndarray) -> bytes | None:
-    """Counts over about half as many groups as there are shingles, a byte each; None if one is too large."""
-    m = 1 << min(13, max(5, len(h).bit_length() - 2))
-    counts = np.bincount(((h >> np.uint64(8)) & np.uint64(m - 1)).astype(np.int64), minlength=m)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+def cells_of(h: np.ndarray) -> bytes:
+    """Counts over two to four cells a shingle, up to three, four cells to a byte."""
+    m = 1 << min(16, max(5, len(h).bit_length() + 1))
+    c = np.minimum(np.bincount(((h >> np.uint64(8)) & np.uint64(m - 1)).astype(np.int64), minlength=m), 3).astype(np.uint8)
+    return (c[0::4] | c[1::4] << 2 | c[2::4] << 4 | c[3::4] << 6).tobytes()
 
 
-def _fold(x: np.ndarray, m: int) -> np.ndarray:
-    """Counts over m groups from counts over more (groups are low bits)."""
-    return x.reshape(*x.shape[:-1], -1, m).sum(axis=-2, dtype=np.int32)
+def _cells(packed: np.ndarray) -> np.ndarray:
+    return np.stack([packed >> k & 3 for k in (0, 2, 4, 6)], axis=-1).reshape(*packed.shape[:-1], -1)
 
 
-def fine_bound(a: bytes | None, others: list[bytes | None]) -> np.ndarray:
-    """Bounds on the overlap of one set with others by their fine counts."""
-    out = np.full(len(others), np.iinfo(np.int64).max)
-    if a is None:
-        return out
-    mine = np.frombuffer(a, np.uint8)
+def _fold(cells: np.ndarray, m: int) -> np.ndarray:
+    """Cells over m groups from more of them (groups are low bits)."""
+    return np.minimum(cells.reshape(*cells.shape[:-1], -1, m).sum(axis=-2, dtype=np.int32), 3)
+
+
+#: For two bytes of cells, by how much the first one's exceed the second's.
+_EXCESS = np.maximum(_cells(np.arange(256, dtype=np.uint8)[:, None])[:, None, :].astype(np.int8) - _cells(np.arange(256, dtype=np.uint8)[:, None]).astype(np.int8), 0).sum(axis=2).astype(np.uint8)
+
+
+def cells_bound(n: int, a: bytes, sizes: np.ndarray, others: list[bytes]) -> np.ndarray:
+    """Bounds on the overlap of a set of n with others: where one has more in a cell, so many
+    of its shingles the other lacks, however saturated the cells."""
+    out, mine = np.empty(len(others), dtype=np.int64), np.frombuffer(a, np.uint8)
     by_size: dict[int, list[int]] = {}
     for i, b in enumerate(others):
-        if b is not None:
-            by_size.setdefault(len(b), []).append(i)
+        by_size.setdefault(len(b), []).append(i)
     for size, at in by_size.items():
         theirs = np.frombuffer(b"".join([others[i] for i in at]), np.uint8).reshape(len(at), size)
-        m = min(size, len(mine))
-        out[at] = np.minimum(_fold(theirs, m), _fold(mine, m)).sum(axis=1)
+        if size == len(mine):
+            lacks, more = _EXCESS[mine, theirs].sum(axis=1, dtype=np.int64), _EXCESS[theirs, mine].sum(axis=1, dtype=np.int64)
+        else:
+            m = 4 * min(size, len(mine))
+            x, y = _fold(_cells(mine), m), _fold(_cells(theirs), m)
+            lacks, more = np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1)
+        out[at] = np.minimum(n - lacks, sizes[at] - more)
     return out
 
 
@@ -241,92 +251,105 @@ def _points(point: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<i4").astype(np.int32) for p in point])
 
 
-class _Emitted:
-    """Pairs (smaller, larger) not given lately."""
+class _Block:
+    """Rows of one block (or part): their R-tree, and what both bounds leave for a row."""
+
+    def __init__(self, n: list, node: list, point: list, cells: list, percent: int):
+        self.n, self.node, self.points, self.cells, self.percent = np.array(n, dtype=np.int64), np.array(node, dtype=np.int64), _points(point), cells, percent
+
+    def tree(self, stop: int) -> RTree:
+        return RTree(self.points[:stop], self.n[:stop])
 
-    def __init__(self, most: int = 500_000):
-        self.seen, self.most, self.a, self.b = set(), most, [], []
+    def left(self, i: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows ``near`` those that may link with row i, and their bounds."""
+        if not len(near):
+            return near, near
+        bound = cells_bound(int(self.n[i]), self.cells[i], self.n[near], [self.cells[j] for j in near.tolist()])
+        ok = bound >= overlap_needed(self.n[near], int(self.n[i]), self.percent)
+        return near[ok], bound[ok]
 
-    def add(self, x: int, y: int):
-        p = (x, y) if x < y else (y, x)
-        if x != y and p not in self.seen:
-            if len(self.seen) > self.most:
-                self.seen.clear()
-            self.seen.add(p)
-            self.a.append(p[0])
-            self.b.append(p[1])
 
-    def take(self, schema):
-        if self.a:
-            batch = record_batch(schema, [self.a, self.b])
-            self.a, self.b = [], []
-            yield batch
+def _pairs(schema, a: list, b: list):
+    x, y = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    return record_batch(schema, [np.minimum(x, y), np.maximum(x, y)])
 
 
-def _first_pairs(percent: int, schema, most: int = 4_096):
-    """Rows (block, n, node, point, fine) sorted by block, n, node -> pairs that both bounds leave.  A small
-    block gives every such pair of its R-tree; a larger one ties each row to the one nearest the middle of all (that of its
-    first ``most`` rows), so near copies of one text are tied to it."""
+def _first_pairs(percent: int, schema, most: int = 1_024):
+    """Rows (block, n, node, point, cells) sorted by block, n, node -> for each row the pair with the one before it,
+    among up to ``most``, whose overlap may be the largest part of what a link needs."""
 
     def run(batches):
-        out, centre = _Emitted(), None
-        for (_, n, node, point, fine), starts, ends in _segments(batches, 5, most):
-            points, sizes = _points(point), np.array(n, dtype=np.int64)
-            if starts:
-                centre = None
-            if starts and ends and len(node) <= SMALL:
-                tree = RTree(points, sizes)
-                for i in range(len(node) - 1):
-                    near = tree.near(points[i], n[i], percent)
-                    near = near[near > i]
-                    bound = fine_bound(fine[i], [fine[int(j)] for j in near])
-                    for j in near[bound >= overlap_needed(sizes[near], n[i], percent)]:
-                        out.add(node[i], node[int(j)])
-            else:
-                if centre is None:
-                    mid = np.abs(points - np.median(points, axis=0)).sum(axis=1)
-                    c = int(np.lexsort((np.array(node), mid))[0])
-                    centre = (node[c], points[c], n[c], fine[c])
-                need = overlap_needed(sizes, centre[2], percent)
-                near = np.flatnonzero(np.minimum(points, centre[1]).sum(axis=1) >= need)
-                bound = fine_bound(centre[3], [fine[int(j)] for j in near])
-                for j in near[bound >= need[near]]:
-                    out.add(centre[0], node[int(j)])
-            if len(out.a) > 50_000:
-                yield from out.take(schema)
-        yield from out.take(schema)
+        a, b, last = [], [], None
+        for (_, *cols), starts, _ in _segments(batches, 5, most):
+            # a segment that goes on with a block begins with the row the last one was most tied to
+            if not starts and last is not None:
+                cols = [[x, *c] for x, c in zip(last, cols)]
+            block = _Block(*cols, percent)
+            tree, tied = block.tree(len(block.n)), np.zeros(len(block.n), dtype=np.int64)
+            for i in range(1, len(block.n)):
+                near = tree.near(block.points[i], int(block.n[i]), percent)
+                near, bound = block.left(i, near[near < i])
+                if len(near):
+                    j = int(near[np.argmax(bound / overlap_needed(block.n[near], int(block.n[i]), percent))])
+                    tied[j] += 1
+                    a.append(block.node[i])
+                    b.append(block.node[j])
+            c = int(tied.argmax())
+            last = [x[c] for x in cols]
+            if len(a) > 20_000:
+                yield _pairs(schema, a, b)
+                a, b = [], []
+        yield _pairs(schema, a, b)
 
     return run
 
 
 def _between_pairs(percent: int, schema):
-    """Rows (part, kind, n, node, point, fine, comp) sorted by part, kind, n, node -> pairs of a stray
-    (kind 1) and a row (kind 0) of another component that both bounds leave."""
+    """Rows (part, kind, n, node, point, cells, comp, key, keys) sorted by part, kind, n, node -> pairs of a stray
+    (kind 2) and a row of another component (kind 0, or 1 where it is a stray as well) that both
+    bounds leave and whose least common key among their first is the block's, or that have none."""
 
     def run(batches):
-        out = _Emitted()
-        for (_, kind, n, node, point, fine, comp), _, _ in _segments(batches, 7, 1 << 30):
-            rows = kind.count(0)
+        a, b = [], []
+        for (_, kind, n, node, point, cells, comp, key, keys), _, _ in _segments(batches, 9, 1 << 30):
+            rows = len(kind) - kind.count(2)
             if not rows or rows == len(kind):
                 continue
-            points, sizes, comps = _points(point), np.array(n, dtype=np.int64), np.array(comp, dtype=np.int64)
-            tree = RTree(points[:rows], sizes[:rows])
+            block, comps, stray = _Block(n, node, point, cells, percent), np.array(comp, dtype=np.int64), np.array(kind) == 1
+            tree = block.tree(rows)
+            firsts = [np.frombuffer(k, np.int64) for k in keys]
             for i in range(rows, len(kind)):
-                near = tree.near(points[i], n[i], percent)
-                near = near[comps[near] != comps[i]]
-                if len(near):
-                    bound = fine_bound(fine[i], [fine[int(j)] for j in near])
-                    for j in near[bound >= overlap_needed(sizes[near], n[i], percent)]:
-                        out.add(node[i], node[int(j)])
-            if len(out.a) > 50_000:
-                yield from out.take(schema)
-        yield from out.take(schema)
+                near = tree.near(block.points[i], int(block.n[i]), percent)
+                near = near[(comps[near] != comps[i]) & (~stray[near] | (block.node[near] > block.node[i]))]
+                for j in block.left(i, near)[0].tolist():
+                    common = np.intersect1d(firsts[i], firsts[j], assume_unique=True)
+                    if not len(common) or common[0] == key[i]:
+                        a.append(block.node[i])
+                        b.append(block.node[j])
+            if len(a) > 20_000:
+                yield _pairs(schema, a, b)
+                a, b = [], []
+        yield _pairs(schema, a, b)
 
     return run
 
 
+def _by_bytes(rows, column, most: int = 1 << 22):
+    """The column's values at ``rows`` in lists of about ``most`` characters at most (or one value)."""
+    held, size = [], 0
+    for i in rows:
+        t = column[int(i)].as_py()
+        if held and size + len(t or "") > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
+
+
 def _id_bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size in which each id's hash is set (bits / 32 integers reach the driver)."""
+    """A bitmap in which each id's hash is set (bits / 32 integers at most reach the driver)."""
     pos = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select(pos.alias("p")).groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b")).toArrow()
     out = np.zeros(bits // 32, dtype=np.uint32)
@@ -334,25 +357,30 @@ def _id_bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, width: int, key: str, text: str, bits: int = 1 << 22) -> DataFrame:
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, width: int, key: str, text: str, most_bits: int = 1 << 28) -> DataFrame:
     """Pairs (a, b) whose whole sets reach the similarity.  Only documents that stand
-    for a node of some pair are read again: a bitmap of their ids tells most others
+    for a node of some pair are read again: a bitmap of their ids, or a join beyond ``most_bits``, tells most others
     apart, and the join by node the rest."""
     spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    ids = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    sent = spark.sparkContext.broadcast(_id_bitmap(ids, bits))
-    schema = arrow_schema("node bigint, h binary")
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct())
+    ids = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct())
+    schema, wanted = arrow_schema("node bigint, h binary"), ids.count()
+    bits = 1 << max(16, (16 * wanted).bit_length())
+    sent = spark.sparkContext.broadcast(_id_bitmap(ids, bits)) if bits <= most_bits else None
 
     def read(batches):
-        bitmap = sent.value
+        bitmap = None if sent is None else sent.value
         for batch in batches:
             pos = batch.column(0).to_numpy()
-            hit = np.flatnonzero(bitmap[pos >> 5] >> (pos & 31).astype(np.uint32) & np.uint32(1))
-            found = [h for i in hit if len(h := shingles(batch.column(1)[int(i)].as_py(), width))]
-            yield record_batch(schema, [[node_of(h) for h in found], [h.tobytes() for h in found]])
-
-    rows = docs.where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(F.col(key)), F.lit(bits)).alias("p"), F.col(text).cast("string").alias("t"))
+            hit = range(len(pos)) if bitmap is None else np.flatnonzero(bitmap[pos >> 5] >> (pos & 31).astype(np.uint32) & np.uint32(1))
+            for part in _by_bytes(hit, batch.column(1)):
+                found = [h for t in part if len(h := shingles(t, width))]
+                yield record_batch(schema, [[node_of(h) for h in found], [h.tobytes() for h in found]])
+
+    rows = docs.where(F.col(key).isNotNull())
+    if sent is None:  # too many for a bitmap that all tasks hold: texts meet their ids in a shuffle
+        rows = rows.join(ids.withColumnRenamed("id", key), key, "left_semi")
+    rows = rows.select(F.pmod(F.xxhash64(F.col(key)), F.lit(bits)).alias("p"), F.col(text).cast("string").alias("t"))
     full = stored(rows.mapInArrow(read, "node bigint, h binary").join(nodes, "node", "left_semi"))
     full = full.dropDuplicates(["node"])
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(full.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
@@ -413,55 +441,57 @@ def _placed(docs: DataFrame, *, key: str, text: str, width: int = 4, percent: in
     kept that of the text which stands for the component, null where there is none."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    bands = Bands(percent)
     kind = docs.schema[key].dataType.simpleString()
+    ranks = spark.sparkContext.broadcast(classes(bucket_counts(docs, text, width)))
 
     def describe(cols):
-        out = {"id": cols["id"], "digest": cols["digest"], "n": [], "node": [], "point": [], "fine": [], "keys": []}
+        out = {"id": cols["id"], "digest": cols["digest"], "n": [], "node": [], "point": [], "cells": [], "keys": [], "firsts": []}
         for t in cols["t"]:
             h = shingles(t, width)
+            keys = leading(h, percent, ranks.value) if len(h) else None
             out["n"].append(len(h))
             out["node"].append(node_of(h) if len(h) else None)
             out["point"].append(point_of(h) if len(h) else None)
-            out["fine"].append(fine_counts(h) if len(h) else None)
-            out["keys"].append(group_keys(h, bands) if len(h) else None)
+            out["cells"].append(cells_of(h) if len(h) else None)
+            out["keys"].append(keys)
+            out["firsts"].append(np.sort(keys)[:FIRST_KEYS].tobytes() if len(h) else None)
         return out
 
     base = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"), _digest(text).alias("digest"))
-    sets = stored(arrow_map(base, describe, f"id {kind}, digest bigint, n bigint, node bigint, point binary, fine binary, keys array<bigint>"))
+    sets = stored(arrow_map(base, describe, f"id {kind}, digest bigint, n bigint, node bigint, point binary, cells binary, keys array<bigint>, firsts binary"))
 
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     keyed = sets.where("node is not null and id is not null").select(F.explode("keys").alias("key"), "node")
-    block_schema = arrow_schema("block bigint, node bigint")
+    block_schema = arrow_schema("block bigint, node bigint, key bigint")
     arrow_batches(spark, 50_000)
-    blocks = stored(keyed.repartition(spread, "key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _blocks(batches, block_schema), "block bigint, node bigint").distinct())
+    blocks = keyed.repartition(spread, "key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _blocks(batches, block_schema), "block bigint, node bigint, key bigint")
+    blocks = stored(blocks.groupBy("block", "node").agg(F.min("key").alias("key")))
     arrow_batches(spark)
     pair_schema = arrow_schema("a bigint, b bigint")
 
     # first the blocks that are some node's largest or smallest, which join up most components
     sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("k")), "block")
     chosen = sized.groupBy("node").agg(F.array(F.max_by("block", F.struct("k", "block")), F.min_by("block", F.struct("k", "block"))).alias("bs")).select(F.explode("bs").alias("block")).distinct()
-    near = stored(blocks.join(chosen, "block", "left_semi"))
-    info = sets.where("id is not null").select("node", "n", "point", "fine").join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    rows = near.join(info, "node").select("block", "n", "node", "point", "fine")
+    near = stored(blocks.join(chosen, "block", "left_semi").select("block", "node"))
+    described = sets.where("id is not null").select("node", "n", "point", "cells", "firsts")
+    info = described.drop("firsts").join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = near.join(info, "node").select("block", "n", "node", "point", "cells")
     first = stored(rows.repartition(spread, "block").sortWithinPartitions("block", "n", "node").mapInArrow(_first_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
     links = stored(verified(docs, sets, first, percent, width, key, text))
     roots = stored(components(links))
     # then, in every block, rows outside its largest component meet all others of it
-    rest = blocks.join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
+    rest = blocks.join(roots, "node", "left").select("block", "node", "key", F.coalesce("root", "node").alias("comp"))
     parts = stored(rest.groupBy("block", "comp").agg(F.count("*").alias("k")))
     main = parts.groupBy("block").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("m")).where("k > m")
     if not main.isEmpty():
         deal = main.select("block", "main", F.ceil(F.col("k") / most_rows).cast("int").alias("rb"), F.ceil((F.col("k") - F.col("m")) / most_rows).cast("int").alias("sb"))
-        fine = sets.where("id is not null").select("node", "n", "point", "fine")
         met = rest.join(deal, "block")
-        fine = fine.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-        met = met.join(fine, "node")
+        met = met.join(described.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         hashed = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c)).cast("int")
-        cols = ["n", "node", "point", "fine", "comp"]
-        whole = met.select("block", hashed("rb", 1).alias("r"), each("sb").alias("s"), F.lit(0).alias("kind"), *cols)
-        strays = met.where("comp <> main").select("block", hashed("sb", 2).alias("s"), each("rb").alias("r"), F.lit(1).alias("kind"), *cols)
+        cols = ["n", "node", "point", "cells", "comp", "key", "firsts"]
+        whole = met.select("block", hashed("rb", 1).alias("r"), each("sb").alias("s"), (F.col("comp") != F.col("main")).cast("int").alias("kind"), *cols)
+        strays = met.where("comp <> main").select("block", hashed("sb", 2).alias("s"), each("rb").alias("r"), F.lit(2).alias("kind"), *cols)
         both = whole.unionByName(strays).select(F.xxhash64("block", "r", "s").alias("part"), "kind", *cols)
         more = stored(both.repartition(spread, "part").sortWithinPartitions("part", "kind", "n", "node").mapInArrow(_between_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
         if not more.isEmpty():

@@ -245,29 +245,32 @@ def test_jaccard_odd_rows(odd, none):
 
 def test_bounds_are_bounds():
     rnd = random.Random(5)
-    points, sizes, sets = [], [], []
-    for _ in range(80):
+    sets = []
+    for k in range(80):
         h = np.unique(np.array([rnd.getrandbits(64) % 5_000 * 0x9E3779B97F4A7C15 % 2**64 for _ in range(rnd.randrange(30, 400))], dtype=np.uint64))
-        sets.append(h)
-        sizes.append(len(h))
-        points.append(np.bincount((h & np.uint64(31)).astype(int), minlength=32))
-    order = np.argsort(sizes, kind="stable")
-    points, sizes, sets = np.array(points)[order], np.array(sizes)[order], [sets[i] for i in order]
-    fine = [jaccard.fine_counts(h) for h in sets]
-    tree = jaccard.RTree(points, sizes)
+        # copies that differ in about a tenth, some of them more often than their neighbours in size
+        sets.append(h if k % 3 else np.unique(np.concatenate([sets[k - 1][len(h) // 9 :], h[: len(h) // 9]])) if k else h)
+    sets.sort(key=len)
+    sizes, points, cells = np.array([len(h) for h in sets]), np.array([np.bincount((h & np.uint64(31)).astype(int), minlength=32) for h in sets]), [jaccard.cells_of(h) for h in sets]
+    rank = jaccard.classes(np.bincount(jaccard.bucket_of(np.concatenate(sets)), minlength=jaccard.BUCKETS))
+    tree, linked = jaccard.RTree(points, sizes), 0
     for i in range(80):
         near = set(tree.near(points[i], int(sizes[i]), 85).tolist())
+        bounds = jaccard.cells_bound(int(sizes[i]), cells[i], sizes, cells)
         for j in range(80):
             common = len(np.intersect1d(sets[i], sets[j]))
-            assert common <= np.minimum(points[i], points[j]).sum() and common <= jaccard.fine_bound(fine[i], [fine[j]])[0]
+            assert common <= np.minimum(points[i], points[j]).sum() and common <= bounds[j]
             if 100 * common >= 85 * (sizes[i] + sizes[j] - common):
-                assert j in near
-    bands = jaccard.Bands(85)
-    for a in range(1, 400):
-        for b in range(a, a * 100 // 85 + 1):
-            if bands.differ(a, b):
-                shared = set(bands.of(a)) & set(bands.of(b))
-                assert any(bands.most[k] >= bands.differ(a, b) for k in shared)
+                linked += i < j
+                assert j in near and set(jaccard.leading(sets[i], 85, rank)) & set(jaccard.leading(sets[j], 85, rank))
+    assert linked
+
+
+def test_common_shingles_lead_nowhere():
+    counts = np.full(jaccard.BUCKETS, 100)
+    counts[7], counts[9] = 100_000, 120
+    assert jaccard.classes(counts)[[6, 7, 9]].tolist() == [0, 13, 1]
+    assert not jaccard.classes(np.random.default_rng(1).poisson(500, jaccard.BUCKETS)).any()
 
 
 # -- nearest neighbours -------------------------------------------------------------------
