@@ -4,18 +4,20 @@ A document's set holds its distinct word shingles (64-bit hashes); equal sets fo
 one node (named by a 64-bit digest), so exact copies cost one row each.  Two nodes
 link when ``100 * |A & B| >= percent * |A | B|``.
 
-*Blocks.*  All shingles have one order over the whole corpus: by the class of how
-often their hash's bucket occurs (counted over all documents), then by hash.  A set
+*Blocks.*  All shingles have one order over the whole corpus: by how often their hash's
+bucket occurs (counted over all documents), then by hash.  A set
 of n needs an overlap of ``percent * n / 100`` at least, so of a linked pair's sets
-each has a common shingle among its first ``n - needed + 1``: nodes that share such
-a leading shingle meet in a block.  No pair is missed, and a passage that many
-documents share comes last in their order and brings no two together.
+each has the first k common shingles among its first ``n - needed + k``: nodes that
+share such a leading shingle meet in a block.  ``k`` grows with n (``shared``), and a node that
+shares fewer of its leading shingles than a linked one must is linked with nothing and
+leaves.  No pair is missed, and a passage that many documents share comes last in their
+order and brings no two together.
 
 *Points.*  A node's counts over ``GROUPS`` groups of its hashes are a point.  In each
 block the points are packed in an R-tree; the overlap of two sets is at most the sum of
 their coordinates' minima, and that of a set and a box at most the sum with the
 box's upper corner, so whole boxes are skipped.  Pairs it leaves are bounded again by
-counts over two to four cells a shingle (two bits each, saturating).
+saturating counts over one to two cells a shingle (two bits each).
 
 *Verification.*  Surviving pairs are compared on the whole sets.  First only those
 blocks are used that are some node's largest or smallest, and each row goes with the one
@@ -35,7 +37,7 @@ from citemill.llm.common import arrow_batches, arrow_map, arrow_schema, record_b
 
 GROUPS, LEAF = 32, 16
 #: Buckets of hashes that corpus counts are kept for (a number each on the driver), and keys that tell where a pair is tried.
-BUCKETS, FIRST_KEYS = 1 << 18, 16
+BUCKETS, FIRST_KEYS = 1 << 18, 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,17 +71,20 @@ def bucket_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def classes(counts: np.ndarray) -> np.ndarray:
-    """Class of each bucket: 0 where it holds no more than chance gives, one more for each doubling."""
-    low, mid, high = np.quantile(counts, (0.25, 0.5, 0.75))
-    over = np.maximum(counts - mid, 0) // (16 + 4 * (high - low))
-    return np.ceil(np.log2(over + 1)).astype(np.uint8)
+def shared(n):
+    """Leading shingles that linked sets of n or more share at least."""
+    return 1 + n // 40
+
+
+def least_size(n, percent: int):
+    return -(-n * percent // 100)
 
 
 def leading(h: np.ndarray, percent: int, rank: np.ndarray) -> np.ndarray:
-    """The shingles of a sorted set that a linked set must share one of, in the corpus's order."""
+    """The first shingles of a sorted set in the corpus's order: linked sets share ``shared`` of
+    the smaller one's size among them."""
     n = len(h)
-    return h[np.argsort(rank[bucket_of(h)], kind="stable")[: n + 1 + -n * percent // 100]].view(np.int64)
+    return h[np.argsort(rank[bucket_of(h)], kind="stable")[: n - least_size(n, percent) + shared(n)]].view(np.int64)
 
 
 def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
@@ -97,7 +102,7 @@ def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
     found = docs.select(F.col(text).cast("string")).mapInArrow(count, "bucket int, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(BUCKETS, dtype=np.int64)
     out[found.column("bucket").to_numpy()] = found.column("c").to_numpy()
-    return out
+    return out.astype(np.uint32 if out.max(initial=0) < 1 << 32 else np.int64)
 
 
 def node_of(h: np.ndarray) -> int:
@@ -133,31 +138,35 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
-def _blocks(batches, out):
-    """Sorted (key, node) rows -> (block, node, key) of each key with several nodes; keys
-    with the same nodes give one block, under the least of them."""
-    seen: set = set()
+def _blocks(batches, out, most: int = 200_000):
+    """Sorted (key, node) rows -> (block, node, key, null) of each key with several nodes, where keys with the same
+    nodes give one block under the least of them, and (block, null, null, keys) with the number of its keys."""
+    seen: dict[int, int] = {}
     tail_k, tail_v = np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def counted():
+        if seen:
+            n = len(seen)
+            yield record_batch(out, [list(seen), [None] * n, [None] * n, list(seen.values())])
+            seen.clear()
+
     def closed(k, v):
         starts = _runs(k)
         ends = np.append(starts[1:], len(k))
-        keep = np.flatnonzero(ends - starts > 1)
         blocks, nodes, keys = [], [], []
-        for i in keep:
+        for i in np.flatnonzero(ends - starts > 1):
             run = v[starts[i] : ends[i]]
             if run[0] != run[-1]:  # sorted: else copies of one node
                 run = run[_runs(run)]
                 block = int(np.add.reduce(_mix(run.view(np.uint64))).view(np.int64))
                 if block not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(block)
                     blocks.append(np.full(len(run), block))
                     nodes.append(run)
                     keys.append(np.full(len(run), k[starts[i]]))
+                seen[block] = seen.get(block, 0) + 1
         if blocks:
-            yield record_batch(out, [np.concatenate(blocks), np.concatenate(nodes), np.concatenate(keys)])
+            rows = [np.concatenate(x) for x in (blocks, nodes, keys)]
+            yield record_batch(out, [*rows, [None] * len(rows[0])])
 
     for batch in batches:
         k = np.concatenate([tail_k, batch.column(0).to_numpy()])
@@ -171,13 +180,30 @@ def _blocks(batches, out):
             tail_k, tail_v = tail_k[keep], tail_v[keep]
         if cut:
             yield from closed(k[:cut], v[:cut])
+        if len(seen) > most:
+            yield from counted()
     if len(tail_k):
         yield from closed(tail_k, tail_v)
+    yield from counted()
+
+
+def _held_together(found: DataFrame, sizes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """(block, node, key) without the nodes that share too few leading shingles to be linked, and without blocks
+    that are left with one node.  More rounds would drop more, never a linked node."""
+    members = found.where("node is not null").groupBy("block", "node").agg(F.min("key").alias("key"))
+    keys = found.where("node is null").groupBy("block").agg(F.sum("keys").alias("keys"))
+    least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 40)
+    for _ in range(rounds):
+        enough = members.join(keys, "block").groupBy("node").agg(F.sum("keys").alias("s")).join(sizes, "node").where(F.col("s") >= least)
+        members = members.join(enough.select("node"), "node", "left_semi")
+        several = members.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
+        members = stored(members.join(several, "block", "left_semi"))
+    return members
 
 
 def cells_of(h: np.ndarray) -> bytes:
-    """Counts over two to four cells a shingle, up to three, four cells to a byte."""
-    m = 1 << min(16, max(5, len(h).bit_length() + 1))
+    """Counts up to three over one to two cells a shingle, four cells to a byte."""
+    m = 1 << max(5, len(h).bit_length())
     c = np.minimum(np.bincount(((h >> np.uint64(8)) & np.uint64(m - 1)).astype(np.int64), minlength=m), 3).astype(np.uint8)
     return (c[0::4] | c[1::4] << 2 | c[2::4] << 4 | c[3::4] << 6).tobytes()
 
@@ -442,7 +468,7 @@ def _placed(docs: DataFrame, *, key: str, text: str, width: int = 4, percent: in
     spark = docs.sparkSession
     arrow_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
-    ranks = spark.sparkContext.broadcast(classes(bucket_counts(docs, text, width)))
+    ranks = spark.sparkContext.broadcast(bucket_counts(docs, text, width))
 
     def describe(cols):
         out = {"id": cols["id"], "digest": cols["digest"], "n": [], "node": [], "point": [], "cells": [], "keys": [], "firsts": []}
@@ -462,11 +488,12 @@ def _placed(docs: DataFrame, *, key: str, text: str, width: int = 4, percent: in
 
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     keyed = sets.where("node is not null and id is not null").select(F.explode("keys").alias("key"), "node")
-    block_schema = arrow_schema("block bigint, node bigint, key bigint")
+    block_ddl = "block bigint, node bigint, key bigint, keys bigint"
+    block_schema = arrow_schema(block_ddl)
     arrow_batches(spark, 50_000)
-    blocks = keyed.repartition(spread, "key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _blocks(batches, block_schema), "block bigint, node bigint, key bigint")
-    blocks = stored(blocks.groupBy("block", "node").agg(F.min("key").alias("key")))
+    found = stored(keyed.repartition(spread, "key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _blocks(batches, block_schema), block_ddl))
     arrow_batches(spark)
+    blocks = _held_together(found, sets.where("id is not null").select("node", "n").distinct(), percent)
     pair_schema = arrow_schema("a bigint, b bigint")
 
     # first the blocks that are some node's largest or smallest, which join up most components

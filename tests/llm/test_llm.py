@@ -252,7 +252,7 @@ def test_bounds_are_bounds():
         sets.append(h if k % 3 else np.unique(np.concatenate([sets[k - 1][len(h) // 9 :], h[: len(h) // 9]])) if k else h)
     sets.sort(key=len)
     sizes, points, cells = np.array([len(h) for h in sets]), np.array([np.bincount((h & np.uint64(31)).astype(int), minlength=32) for h in sets]), [jaccard.cells_of(h) for h in sets]
-    rank = jaccard.classes(np.bincount(jaccard.bucket_of(np.concatenate(sets)), minlength=jaccard.BUCKETS))
+    rank = np.bincount(jaccard.bucket_of(np.concatenate(sets)), minlength=jaccard.BUCKETS)
     tree, linked = jaccard.RTree(points, sizes), 0
     for i in range(80):
         near = set(tree.near(points[i], int(sizes[i]), 85).tolist())
@@ -266,11 +266,11 @@ def test_bounds_are_bounds():
     assert linked
 
 
-def test_common_shingles_lead_nowhere():
-    counts = np.full(jaccard.BUCKETS, 100)
-    counts[7], counts[9] = 100_000, 120
-    assert jaccard.classes(counts)[[6, 7, 9]].tolist() == [0, 13, 1]
-    assert not jaccard.classes(np.random.default_rng(1).poisson(500, jaccard.BUCKETS)).any()
+def test_common_shingles_come_last():
+    h = np.sort(np.random.default_rng(1).integers(0, 2**64, 100, dtype=np.uint64))
+    rank = np.full(jaccard.BUCKETS, 500, dtype=np.uint32)
+    rank[jaccard.bucket_of(h[:50])] = 600
+    assert len(jaccard.leading(h, 85, rank)) == 18 and set(jaccard.leading(h, 85, rank).view(np.uint64)) <= set(h[50:])
 
 
 # -- nearest neighbours -------------------------------------------------------------------
