@@ -315,7 +315,7 @@ def fixed_rule(host, path):
 
 
 def test_urls(spark, small):
-    urls = [None, "", "nothing", "http://A.EXAMPLE.org/es/1?x#y", "http://example.org/en/12", "http://org", "http://notexample.org/es/", "ftp://x.com/fr/a://b.org/", "http://b.com/de/x", "//x.org/", "http://com/fr/", "http://é.COM/fr/ü"]
+    urls = [None, "", "nothing", "http://A.EXAMPLE.org/es/1?x#y", "http://example.org/en/12", "http://org", "http://notexample.org/es/", "ftp://x.com/fr/a://b.org/", "http://b.com/de/x", "//x.org/", "http://com/fr/", "http://é.COM/fr/ü", "http://a.com?u=http://b.org/es/x", "http://example.org#://y/en/1", "http://com?://z/de/", "://org", "a\nb://EXAMPLE.org\n/es/", "http://x.com/de/" + "y" * 50_000]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     for r in url_filter.judge(df).collect():
         host, path = split_url(urls[r.page_id])
@@ -331,14 +331,55 @@ def test_urls(spark, small):
     assert not any(s in url_filter.judge(pages)._jdf.queryExecution().toString() for s in ("Python", "Arrow", "Exchange"))
 
 
-def test_mining_against_counting(spark):
-    rnd = random.Random(2)
-    rows = [(sorted({f"t{rnd.randrange(6)}" for _ in range(4)}), "block" if i % 3 else "allow") for i in range(300)]
-    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), min_support=0.05, min_confidence=0.7, max_rules=50, longest=2)
-    assert mined
-    for tokens, verdict, confidence, support in mined:
-        having = [lab for t, lab in rows if set(tokens) <= set(t)]
-        assert confidence == pytest.approx(having.count(verdict) / len(having)) and support == pytest.approx(having.count(verdict) / len(rows)) and confidence >= 0.7
+def mined_by_counting(rows, min_support, min_confidence):
+    """All combinations of tokens, counted one by one, without those that a part betters or equals."""
+    from itertools import combinations
+
+    n, counts = len(rows), defaultdict(lambda: defaultdict(int))
+    for tokens, label in rows:
+        for size in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), size):
+                counts[c][label] += 1
+    good = {(frozenset(c), v): k / sum(by.values()) for c, by in counts.items() for v, k in by.items() if k >= min_support * n and k / sum(by.values()) >= min_confidence}
+    return {(c, v): (conf, counts[tuple(sorted(c))][v] / n) for (c, v), conf in good.items() if not any(d < c and w == v and other >= conf for (d, w), other in good.items())}
+
+
+def best_by_counting(tokens, rules):
+    """Verdicts of the rules that fit best; several where they are alike in confidence and support."""
+    fits = [(conf, sup, v) for (c, v), (conf, sup) in rules.items() if c <= set(tokens)]
+    return {v for *score, v in fits if score == list(max(fits)[:2])}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mining_against_counting(spark, seed):
+    from itertools import product
+
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(300):
+        tokens = {f"t{rnd.randrange(6)}" for _ in range(4)} | {"all"}
+        tokens |= {"t0 too", "t0 as well"} if "t0" in tokens else set()
+        label = "block" if ("t1" in tokens) == ("t2" in tokens) or not rnd.randrange(8) else "allow"
+        rows.append((sorted(tokens | ({"only"} if label == "block" and i % 9 == 0 else set())), label))
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), min_support=0.03, min_confidence=0.7)
+    want = mined_by_counting(rows, 0.03, 0.7)
+    # a rule on classes stands for one rule for each choice of a token of each
+    got = {(frozenset(c), v): (conf, sup) for classes, v, conf, sup in mined for c in product(*classes)}
+    assert got.keys() == want.keys() and any(len(c) > 1 for c, _ in got) and any(len(k) > 1 for r in mined for k in r[0])
+    assert all(got[r] == pytest.approx(want[r]) for r in got)
+
+
+def test_verdicts_against_counting(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    url = F.col("url")
+    tokens = {r.page_id: list(r.t) for r in pages.select("page_id", url_filter.tokens_of(url, url_filter.host_of(url), url_filter.path_of(url)).alias("t")).collect()}
+    got = {r.page_id: r for r in url_filter.judge(pages, min_support=0.04).collect()}
+    fixed = {i: fixed_rule(r.host, r.path) for i, r in got.items()}
+    rules = mined_by_counting([(tokens[i], v) for i, (name, v) in fixed.items() if name], 0.04, 0.8)
+    best = {i: {v} if v else best_by_counting(tokens[i], rules) or {"allow"} for i, (_, v) in fixed.items()}
+    assert all(r.verdict in best[i] for i, r in got.items())
+    mined = [i for i, (name, _) in fixed.items() if not name]
+    assert {v for i in mined for v in best[i]} == {"allow", "block"} and sum(len(best[i]) == 1 for i in mined) > 30
 
 
 def test_every_mined_rule_is_kept(spark):
