@@ -50,7 +50,7 @@ class Backoff:
 class Scorer:
     """Scores texts, holding the rows of words met (a bounded table)."""
 
-    def __init__(self, model: Backoff, most_held: int = 200_000):
+    def __init__(self, model: Backoff, most_held: int = 50_000):
         self.model, self.most_held = model, most_held
         self.clear()
 

@@ -118,7 +118,7 @@ class Words:
     """Ids of a text by a tokenizer that drops white space and ends words.
 
     Words (split at blanks, tabs and line ends, which part words for it too) are
-    encoded on their own, and those met are held.  A word not held goes to
+    encoded on their own, and those met are held, up to ``most_held`` bytes of words and ids.  A word not held goes to
     the tokenizer itself, unless it has plain characters only: then to a merge
     engine over the same vocabulary.  That engine joins any neighbours whose bytes
     make a token, by rank; as each token has one merge and encodes to itself, it
@@ -126,7 +126,7 @@ class Words:
     Added tokens in a text are text like any, or get their ids by ``special_as_text=False``.
     """
 
-    def __init__(self, path: str, most_held: int = 500_000, *, special_as_text: bool = True):
+    def __init__(self, path: str, most_held: int = 8 << 20, *, special_as_text: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -147,7 +147,7 @@ class Words:
         self.fits = len(ranks) == len(ranked) == len(self.tokens) and all(bytes([b]) in ranks for b in range(256))
         self.ids = [int(model["vocab"][t]).to_bytes(4, "little") for t in ranked]
         self.engine = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._core_bpe if self.fits else None
-        self.held, self.most_held = {}, most_held
+        self.held, self.size, self.most_held = {}, 0, most_held
 
     def self_encoding(self) -> bool:
         """Whether each token is the encoding of its own characters, with the end of
@@ -171,9 +171,10 @@ class Words:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out = []
         for t in texts:
-            if len(self.held) > self.most_held:
+            if self.size > self.most_held:
                 # the older half goes
                 self.held = dict(islice(self.held.items(), len(self.held) // 2, None))
+                self.size = sum(len(w) + len(blob) for w, blob in self.held.items())
             held, words = self.held, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             got = list(map(held.get, words))
             if None in got:
@@ -183,6 +184,7 @@ class Words:
                         got[k] = blob = self.word(w)
                         if len(w) <= 64:
                             held[w] = blob
+                            self.size += len(w) + len(blob)
             out.append(b"".join(got))
         return out
 
