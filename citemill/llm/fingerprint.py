@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-from citemill.llm.common import arrow_batches, arrow_schema, record_batch
+from citemill.llm.common import arrow_schema, bounded_batches, record_batch
 
 BUCKETS, BOUND = 256, 400
 #: Odd multipliers for the bytes of a triplet, one row per choice of bytes.
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ro
     key follow each other by text; a single row is its own successor; an empty
     table gives an empty result; other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

@@ -33,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from citemill.llm.common import arrow_batches, arrow_map, arrow_schema, record_batch, stored
+from citemill.llm.common import arrow_map, arrow_schema, bounded_batches, dropped, record_batch, stored
 
 GROUPS, LEAF = 32, 16
 #: Buckets of hashes that corpus counts are kept for (a number each on the driver), and keys that tell where a pair is tried.
@@ -190,6 +190,7 @@ def _blocks(batches, out, most: int = 200_000):
 def _held_together(found: DataFrame, sizes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """(block, node, key) without the nodes that share too few leading shingles to be linked, and without blocks
     that are left with one node.  More rounds would drop more, never a linked node."""
+    made = [found]
     members = found.where("node is not null").groupBy("block", "node").agg(F.min("key").alias("key"))
     keys = found.where("node is null").groupBy("block").agg(F.sum("keys").alias("keys"))
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 40)
@@ -198,6 +199,8 @@ def _held_together(found: DataFrame, sizes: DataFrame, percent: int, rounds: int
         members = members.join(enough.select("node"), "node", "left_semi")
         several = members.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
         members = stored(members.join(several, "block", "left_semi"))
+        made.append(members)
+    dropped(*made[:-1])
     return members
 
 
@@ -444,7 +447,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        old, edges = edges, stored(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        dropped(old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
@@ -466,7 +470,7 @@ def _placed(docs: DataFrame, *, key: str, text: str, width: int = 4, percent: in
     """``join_classes`` as (id, digest, n, component_id, kept): digest is of the text, and
     kept that of the text which stands for the component, null where there is none."""
     spark = docs.sparkSession
-    arrow_batches(spark)
+    bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     ranks = spark.sparkContext.broadcast(bucket_counts(docs, text, width))
 
@@ -490,9 +494,7 @@ def _placed(docs: DataFrame, *, key: str, text: str, width: int = 4, percent: in
     keyed = sets.where("node is not null and id is not null").select(F.explode("keys").alias("key"), "node")
     block_ddl = "block bigint, node bigint, key bigint, keys bigint"
     block_schema = arrow_schema(block_ddl)
-    arrow_batches(spark, 50_000)
     found = stored(keyed.repartition(spread, "key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _blocks(batches, block_schema), block_ddl))
-    arrow_batches(spark)
     blocks = _held_together(found, sets.where("id is not null").select("node", "n").distinct(), percent)
     pair_schema = arrow_schema("a bigint, b bigint")
 

@@ -19,7 +19,7 @@ from itertools import islice
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from citemill.llm.common import arrow_batches, arrow_map, stored
+from citemill.llm.common import arrow_map, bounded_batches, stored
 
 
 # -- the cutting-stock problem (driver; its size is the histogram's) -------------
@@ -196,7 +196,7 @@ def _words(path: str) -> Words:
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ids, with ``end_id`` after them, cut at multiples of ``capacity``."""
-    arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
 

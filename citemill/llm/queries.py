@@ -3,10 +3,10 @@ parameters.  ``queries()`` maps names to ``(spark, sf_dir) -> DataFrame``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citemill.llm import ann, bpe, chat, fingerprint, jaccard, language_id, packing, quality, url_filter, warc
-from citemill.llm.common import shared_dir, table
+from citemill.llm.common import scratch_dir, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +54,52 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), shared_dir(spark)))
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), scratch_dir(spark)))
+
+
+# what SQL can say of operators that it can't express whole
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and fixed rule of every URL."""
+    return op5_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and edited text of every document."""
+    return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def byte_bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ids of every text decode to."""
+    return op7_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def nearest_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different neighbours every query has, and the last rank."""
+    found = op4_nearest(spark, sf_dir)
+    return found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("found"), F.max("rank").cast("bigint").alias("last"))
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    own = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return own | {f.__name__: f for f in (url_rules, fingerprint_edits, byte_bpe_decoded, nearest_ranks)}
 
 
 ORACLES = {
+    # the longest rule that fits decides
+    "url_rules": r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
+ r(h, q) AS (VALUES ('org', '/'), ('example.org', '/es/'), ('example.org', '/en/1'), ('com', '/fr/'), ('com', '/de/'))
+SELECT page_id, host, path, arg_max(h || q, length(h || q)) AS rule FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id, host, path""",
+    # next document by descending id; after the last the first
+    "fingerprint_edits": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(u, 1, length(t) // 2)) AS edited_sha256 FROM n""",
+    "byte_bpe_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+    "nearest_ranks": r"""
+WITH v AS (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT vec_id AS query_id, least(20, (SELECT count(*) FROM v) - 1)::BIGINT AS found, least(20, (SELECT count(*) FROM v) - 1)::BIGINT AS last FROM v WHERE vec_id % 20 = 0""",
     # shingle sets by lists, linked pairs by a self-join, reachability by recursion
     "op3_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

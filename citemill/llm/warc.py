@@ -20,7 +20,7 @@ import uuid
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from citemill.llm.common import arrow_batches, arrow_schema, record_batch, stored
+from citemill.llm.common import arrow_schema, bounded_batches, record_batch, stored
 
 DICT_MAGIC = 0x184D2A5D
 _SPACE = uuid.UUID("6ba7b812-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the namespace for object identifiers
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
     columns are ignored.  The dictionary is built from ``sample_rows`` rows.
     """
     spark = pages.sparkSession
-    arrow_batches(spark, 128)
+    bounded_batches(spark)
     rows = classified(pages, key, url, html, least, most_broadcast).select("id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "sha", "size", "refers_to")
     body = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
     sample = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), body).where(F.octet_length(body) <= 65_536).limit(sample_rows).collect()
