@@ -15,35 +15,50 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from citemill.llm.common import arrow_batches, arrow_map, stored
+from citemill.llm.common import arrow_map, bounded_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
+class Table:
+    """Strings, by their 64-bit hashes in order, and a float32 row of each; no string is held."""
+
+    def __init__(self, strings, rows: np.ndarray):
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
+        order = np.argsort(hashes)
+        self.hashes, self.rows = hashes[order], rows[order].astype(np.float32)
+
+    def known(self, strings: list[str]) -> np.ndarray:
+        """Rows of the strings that are known, in their order."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        return self.rows[at[self.hashes[at] == h]] if len(self.hashes) else self.rows[:0]
+
+
 @dataclass
 class Backoff:
-    """langs; word and n-gram tables of one float32 row per language."""
+    """langs, and tables of words and n-grams with a score for each language."""
 
     langs: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    word_rows: np.ndarray
-    gram_rows: np.ndarray
+    words: Table
+    grams: Table
     longest: int
 
     def row(self, word: str) -> np.ndarray | None:
         """Scores of one word, None if it has no letter or nothing is known of it."""
-        if (i := self.words.get(word)) is not None:
-            return self.word_rows[i]
+        if len(own := self.words.known([word])):
+            return own[0]
         if not any(map(str.isalpha, word)):
             return None
         padded = f"<{word}>"
         for n in range(min(self.longest, len(padded)), 0, -1):
-            if known := [i for k in range(len(padded) - n + 1) if (i := self.grams.get(padded[k : k + n])) is not None]:
-                return self.gram_rows[known].mean(axis=0)
+            if len(known := self.grams.known([padded[k : k + n] for k in range(len(padded) - n + 1)])):
+                return known.mean(axis=0)
         return None
 
 
@@ -98,11 +113,11 @@ def learn(docs: DataFrame, *, key: str, text: str, lang: str, docs_per_lang: int
     per = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
     langs = [r[0] for r in per]
     if not langs:
-        return Backoff([], {}, {}, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), longest)
+        return Backoff([], Table([], np.zeros((0, 1))), Table([], np.zeros((0, 1))), longest)
     part = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1_000_000))
     rate = F.create_map(*[x for r in per for x in (F.lit(r[0]), F.lit(min(1_000_000, max(1, 1_000_000 * docs_per_lang // r[1]))))])
     sample = rows.where(F.col("l").isin(langs)).where(part < rate[F.col("l")])
-    arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def count(cols):
         by = {}
@@ -113,32 +128,36 @@ def learn(docs: DataFrame, *, key: str, text: str, lang: str, docs_per_lang: int
 
     counts = stored(arrow_map(sample.select("t", "l"), count, "l string, w string, c bigint").groupBy("l", "w").agg(F.sum("c").alias("c")))
     by_lang = [F.sum(F.when(F.col("l") == l, F.col("c")).otherwise(0)).alias(f"c{k}") for k, l in enumerate(langs)]
-    cap = lambda df, most: df.groupBy("g").agg(F.sum("c").alias("all"), *by_lang).orderBy(F.desc("all"), "g").limit(most).toArrow().to_pandas()
+    cap = lambda df, most: df.groupBy("g").agg(F.sum("c").alias("all"), *by_lang).orderBy(F.desc("all"), "g").limit(most).toArrow()
+
+    def scored(found) -> Table:
+        c = np.column_stack([found.column(f"c{k}").to_numpy() for k in range(len(langs))]).astype(np.float64).reshape(-1, len(langs))
+        total = np.maximum(c.sum(axis=0), 1)
+        # what a language never had costs more than its rarest entry, by ``floor``
+        least = -np.log(total.max()) - floor
+        return Table(found.column("g").to_pylist(), np.where(c > 0, np.log(np.maximum(c, 1e-12) / total), least))
+
     grams = []
     for n in range(1, longest + 1):
         padded = F.concat(F.lit("<"), "w", F.lit(">"))
         each = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
-        grams.append(cap(counts.where(F.length("w") + 2 >= n).select("l", F.explode(each).alias("g"), "c"), max_grams))
-    words = cap(counts.withColumnRenamed("w", "g"), max_words)
+        grams.append(scored(cap(counts.where(F.length("w") + 2 >= n).select("l", F.explode(each).alias("g"), "c"), max_grams)))
+    words = scored(cap(counts.withColumnRenamed("w", "g"), max_words))
+    return Backoff(langs, words, joined(grams), longest)
 
-    def rows_of(frames):
-        out = []
-        for f in frames:
-            c = f[[f"c{k}" for k in range(len(langs))]].to_numpy(np.float64)
-            total = np.maximum(c.sum(axis=0), 1)
-            logs = np.log(np.maximum(c, 1e-12) / total)
-            # what a language never had costs more than its rarest entry, by ``floor``
-            least = -np.log(total.max()) - floor
-            out.append(np.where(c > 0, logs, least).astype(np.float32))
-        return np.concatenate(out)
 
-    names = pd.concat([f["g"] for f in grams]).tolist()
-    return Backoff(langs, {w: i for i, w in enumerate(words["g"])}, {g: i for i, g in enumerate(names)}, rows_of([words]), rows_of(grams), longest)
+def joined(tables: list[Table]) -> Table:
+    """One table of all, which have no string in common."""
+    out = Table([], np.zeros((0, 1)))
+    hashes = np.concatenate([t.hashes for t in tables])
+    order = np.argsort(hashes)
+    out.hashes, out.rows = hashes[order], np.concatenate([t.rows for t in tables])[order]
+    return out
 
 
 def predictor(spark, model: Backoff):
     """A column function text -> struct(lang_pred, score)."""
-    arrow_batches(spark)
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     scorer = None
 

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citemill.llm.common import arrow_batches, stored
+from citemill.llm.common import bounded_batches, stored
 
 #: Byte classes: control, blank, line end, lower, upper, digit, stop, emphasis, bracket or quote, sign, bar, high.
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -110,7 +110,7 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     empty table gives an empty result; columns of ``docs`` stay.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    bounded_batches(spark)
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__k")).agg((F.avg(label) >= 0.5).cast("int").alias("good"))
     sample = marks.orderBy(F.xxhash64("__k"), "__k").limit(sample_rows)
 
@@ -121,7 +121,7 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     # the sample has at most sample_rows rows, so it may be sent to all
     seen = docs.join(F.broadcast(sample), F.col(key) == F.col("__k")).select("good", describe(F.col(text).cast("string")).alias("x")).toArrow()
     y = seen.column("good").to_numpy().astype(np.float64)
-    model = fit(np.stack(seen.column("x").to_pylist()).astype(np.float64), y) if len(y) and 0 < y.mean() < 1 else None
+    model = fit(seen.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(y), -1), y) if len(y) and 0 < y.mean() < 1 else None
     sites = docs.select(F.col(key).alias("__k"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")).join(marks, "__k")
     share, posteriors = site_posteriors(sites)
     posteriors = stored(posteriors.withColumnsRenamed({"host": "__h", "path": "__p", "host_posterior": "__hp", "path_posterior": "__pp"}))

@@ -37,7 +37,7 @@ def table(small, name):
 
 
 # -- byte-level BPE --------------------------------------------------------------------
-@pytest.mark.parametrize(("chars", "size"), [(17, 7), (5, 3), (40, 20), (16_384, 4_096)])
+@pytest.mark.parametrize(("chars", "size"), [(17, 7), (5, 3), (40, 20), (512, 512)])
 def test_tree_reduction_equals_encoding_at_once(chars, size):
     r = bpe.Ranks(BYTE_BPE, public_tokenizers.PATTERN, chars, size)
     rnd = random.Random(chars)
@@ -50,6 +50,20 @@ def test_tree_reduction_equals_encoding_at_once(chars, size):
         assert r.decode(ids, leaf=4) == text.encode()
 
 
+def test_production_leaves_are_joined():
+    r = bpe.Ranks(BYTE_BPE, public_tokenizers.PATTERN)
+    rnd, grew = random.Random(8), 0
+    for k in range(60):
+        words = ["x" * rnd.randrange(1, 900) if k % 6 == 5 else "".join(rnd.choice("etaoiné1漢'-") for _ in range(rnd.randrange(1, 60 if k % 3 else 9))) for _ in range(rnd.randrange(2, 900))]
+        text = rnd.choice([" ", "  ", "\n", " \n"] if k % 4 else [" "]).join(words)
+        assert r.encode(text) == r.core.encode_ordinary(text)
+        assert (r.joins > 0) >= (len(text) > 512)
+        grew += r.widened
+    assert grew
+    for text in ("y" * 50_000, "漢" * 20_000, "\n" * 9_000, "a\n" * 4_000, " " * 5_000 + "b c" + " " * 5_000):
+        assert r.encode(text) == r.core.encode_ordinary(text)
+
+
 def test_bpe_rows(spark, odd, none):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE, "rb"))}
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -168,8 +182,8 @@ def test_language(spark, small, odd, none):
 
 
 def test_backoff_takes_the_longest_known_grams():
-    rows = np.array([[0, -9], [-9, 0], [-1, -2]], dtype=np.float32)
-    m = language_id.Backoff(["a", "b"], {"the": 0}, {"<d": 1, "e": 2}, rows, rows, 4)
+    words, grams = language_id.Table(["the"], np.array([[0, -9]])), [language_id.Table(["<d"], np.array([[-9, 0]])), language_id.Table(["e"], np.array([[-1, -2]]))]
+    m = language_id.Backoff(["a", "b"], words, language_id.joined(grams), 4)
     assert m.row("the").tolist() == [0, -9] and m.row("den").tolist() == [-9, 0] and m.row("ze").tolist() == [-1, -2]
     assert m.row("zz") is None and m.row("²") is None
     assert language_id.Scorer(m)("the den")[0] in "ab"
@@ -274,27 +288,44 @@ def test_common_shingles_come_last():
 
 
 # -- nearest neighbours -------------------------------------------------------------------
-def test_nearest(spark, small):
-    e = table(small, "embeddings")
-    x, ids = np.stack(e.embedding.values).astype(np.float64), e.vec_id.values
+def recall_of(rows, x, ids):
     got = defaultdict(list)
-    for r in ann.search(spark.read.parquet(f"{small}/embeddings.parquet"), rows_per_part=100, block_rows=40, block_queries=7).orderBy("rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
+    for r in rows:
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
     hits = total = 0
     for q in ids[ids % 20 == 0]:
         s = (x * x[ids == q][0]).sum(axis=1)
         s[ids == q] = -np.inf
         top = ids[np.lexsort((ids, -s))][:20]
-        hits, total = hits + len(set(top) & {v for v, _ in got[q]}), total + 20
-        assert [p for _, p in got[q]] == sorted((p for _, p in got[q]), reverse=True)
-        assert all(p == dict(zip(ids, s))[v] for v, p in got[q])
-    assert hits / total >= 0.9
+        found = sorted(got[q])
+        hits, total = hits + len(set(top) & {v for _, v, _ in found}), total + 20
+        assert [r for r, _, _ in found] == list(range(1, 21))
+        assert [(-p, v) for _, v, p in found] == sorted((-p, v) for _, v, p in found)
+        assert all(p == s[ids == v][0] for _, v, p in found)
+    return hits / total
+
+
+@pytest.mark.parametrize(("folder", "how"), [("/root/testdata/sf0.001", {"rows_per_part": 100, "block_rows": 40, "block_queries": 7}), ("/root/testdata/sf0.1", {})])
+def test_nearest(spark, folder, how):
+    e = table(folder, "embeddings")
+    found = ann.search(spark.read.parquet(f"{folder}/embeddings.parquet"), **how).collect()
+    assert recall_of(found, np.stack(e.embedding.values).astype(np.float64), e.vec_id.values) >= 0.9
+
+
+def test_nearest_in_a_large_block(spark):
+    """Production parameters where a scan cuts hard: 12,000 vectors, two centres, clusters of unlike lengths."""
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 32))
+    x = (centres[rnd.integers(0, 40, 12_000)] + rnd.normal(size=(12_000, 32)) * 0.7) * rnd.uniform(0.5, 2, (12_000, 1))
+    x, ids = x.astype(np.float32).astype(np.float64), np.arange(12_000) * 2
+    df = spark.createDataFrame(zip(ids.tolist(), x.tolist()), "vec_id long, embedding array<float>")
+    assert recall_of(ann.search(df).collect(), x, ids) >= 0.9
 
 
 def test_nearest_odd_vectors(spark):
-    v = [(20, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0]), (2, [1.0, 0.0, 2.0]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [1.0, None, 2.0]), (6, [float("nan"), 1.0, 1.0]), (7, [float("inf"), 1.0, 1.0]), (8, [1.0]), (9, [-1.0, 0.0, 1.0]), (1, [1.0, 0.0, 2.0]), (None, [1.0, 1.0, 1.0])]
+    v = [(20, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0]), (2, [1.0, 0.0, 2.0]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [1.0, None, 2.0]), (6, [float("nan"), 1.0, 1.0]), (7, [float("inf"), 1.0, 1.0]), (8, [1.0]), (40, [2.0]), (9, [-1.0, 0.0, 1.0]), (1, [1.0, 0.0, 2.0]), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash"))
-    assert [tuple(r) for r in ann.search(df).orderBy("rank").collect()] == [(20, 1, 1, 5.0), (20, 2, 2, 5.0), (20, 3, 9, 1.0)]
+    assert [tuple(r) for r in ann.search(df).orderBy("query_id", "rank").collect()] == [(20, 1, 1, 5.0), (20, 2, 2, 5.0), (20, 3, 9, 1.0), (40, 1, 8, 2.0)]
     assert ann.search(df.where("vec_id < 0")).count() == 0
 
 
@@ -427,21 +458,34 @@ def test_trees(spark):
         formatted = "".join(chat.format_turn(*t)[0] for t in turns)
         r = got[c]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(formatted))
-    for p in packs.collect():  # a node's position is its path's length, and no text of one tree is written twice below one parent
+    for p in packs.collect():  # a node's position is its path's length
         for n in p.nodes:
-            assert n.position == sum(a.stop - a.start for a in n.attends)
-    assert sum(len(p.text) for p in packs.collect()) < sum(len(chat.format_turn(r or "", t or "")[0]) for _, _, r, t in rows)
+            assert n.position == sum(a.stop - a.start for a in [*p.context[: n.outside], *n.attends])
+    # each shared turn is written once in all packs
+    prefixes = {tuple(turns[:k]) for turns in want.values() for k in range(1, len(turns) + 1)}
+    assert sum(len(p.text) for p in packs.collect()) == sum(len(chat.format_turn(*x[-1])[0]) for x in prefixes)
     assert chat.read_back(chat.trees(df.where("conv_id < 0"))).count() == 0
 
 
-def test_long_conversations_share_all_their_turns(spark):
-    # even and odd ones part at the tenth turn
-    rows = [(c, i, "user", f"turn {i}" + " of one half" * (i >= 9) * (c % 2) + f" of {c}" * (i == 11)) for c in range(20) for i in range(12)]
-    packs = chat.trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    for p in packs:
-        held = [c for n in p.nodes for c in n.conversations]
-        assert len(p.nodes) == len({tuple(t[3] for t in rows[12 * c : 12 * c + k]) for c in held for k in range(1, 13)})
-    assert sum(len(n.conversations) for p in packs for n in p.nodes) == 20
+@pytest.mark.parametrize(("ranges", "most"), [(1, 512), (4, 512), (211, 512), (4, 1)])
+def test_shared_turns_are_written_once(spark, ranges, most):
+    # six conversations share nine turns, four of them ten; two more are the nine alone, one is another's start
+    rows = [(c, i, "user" if i % 2 else "assistant", f"turn {i}" + f" of {c}" * (i > 9 or i == 9 and c > 3)) for c in range(6) for i in range(9 + c % 3 + 1)]
+    rows += [(c, i, "user" if i % 2 else "assistant", f"turn {i}") for c, k in ((10, 9), (11, 9), (12, 4)) for i in range(k)] + [(13, 0, "user", "y" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    packs = chat.trees(df, ranges=ranges, most_conversations=most, most_chars=100_000)
+    by = defaultdict(list)
+    for c, _, r, t in rows:
+        by[c].append((r, t))
+    prefixes = {tuple(turns[:k]) for turns in by.values() for k in range(1, len(turns) + 1)}
+    written = [(n.node, p.text[n.start : n.stop]) for p in packs.collect() for n in p.nodes if n.node is not None]
+    assert len(written) == len(set(written)) == len(prefixes)
+    assert sorted(t for _, t in written) == sorted(chat.format_turn(*x[-1])[0] for x in prefixes)
+    got = {r.conv_id: r for r in chat.read_back(packs).collect()}
+    for c, turns in by.items():
+        learnt = "".join(t for r, t in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), hashlib.sha256(learnt.encode()).hexdigest())
+    assert len(got) == len(by)
 
 
 # -- quality ---------------------------------------------------------------------------------
