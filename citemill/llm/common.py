@@ -26,10 +26,6 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(BATCH_BYTES, f"{most}b")
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    bounded_batches(spark)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
