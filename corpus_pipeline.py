@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citemill.llm import jaccard, language_id, packing, quality
-from citemill.llm.common import stored, table
+from citemill.llm.common import dropped, scope, stored, table
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope() as keep:  # what a stage stored on its way goes with it
+            after = stored(stage(spark, docs, sf_dir))
+            keep(after)
+        dropped(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
