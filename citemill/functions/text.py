@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Grammars shared by the operators.
-YEAR = r"(?:1[5-9]\d{2}|20\d{2})"
+# Years, words and openings that the grammars are made of.
+YEARS = (1500, 2099)
+NO_DATE_WORDS = ("n.d.", "n. d.", "no date", "in press", "forthcoming", "o.j.", "o. j.", "im druck")
+LINK_OPENINGS = ("http://", "https://", "doi:", "doi.org/")
+
+
+def _any_of(words) -> str:
+    """An alternation of literal words, blanks standing for any white space."""
+    return "(?:" + "|".join(w.replace(".", r"\.").replace(" ", r"\s") for w in words) + ")"
+
+
+def _years(first: int, last: int) -> str:
+    """Years by their centuries."""
+    whole = [f"{c:02d}" for c in range(first // 100, last // 100 + 1)]
+    return "(?:" + "|".join(f"{c}[0-9][0-9]" for c in whole) + ")"
+
+
+YEAR = _years(*YEARS)
+NO_DATE = f"(?i:{_any_of(NO_DATE_WORDS)})"
 PAREN_YEAR = rf"(?<!\d)\({YEAR}[a-z]?\b"
 BARE_YEAR = rf"(?<!\d){YEAR}(?!\d)"
-NO_DATE = r"(?:n\.\s?d\.|no date|in press|forthcoming|o\.\s?J\.|im Druck)"
-LINK = r"(?:https?://|doi:|doi\.org/|10\.\d{4,9}/)\S+"
+LINK = rf"(?:{_any_of(LINK_OPENINGS)}|10\.\d{{4,9}}/)\S+"
 DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
 URL = r"(?i)https?://[^\s)>\]\"']+"
 PACKAGE_HOSTS = ("cran.r-project.org", "cran.rstudio.com", "pypi.org", "bioconductor.org", "npmjs.com", "ctan.org", "anaconda.org")
@@ -76,13 +92,65 @@ def entry_complete(c: Column) -> Column:
     return c.rlike(r"[.?!][\"'”)\]]*\s*\z") | c.rlike(LINK + r"\s*\z")
 
 
+#: Marks of Markdown and HTML in the order they go, with what they hold (if anything) in group 1.
+MARKUP = (
+    ("quote", r"^\s*>\s*"),
+    ("heading", r"^#{1,6}\s*"),
+    ("bullet", r"^\s*[-*]\s+"),
+    ("bold", r"\*\*(.+?)\*\*"),
+    ("italic", r"_(.+?)_"),
+    ("strike", r"~~(.+?)~~"),
+    ("tag", r"</?[a-zA-Z][^<>]*>"),
+)
+BULLET = dict(MARKUP)["bullet"]
+
+
 def strip_markup(c: Column) -> Column:
-    """Without Markdown and HTML marks: quote, heading, bullet, bold, italic, strike, tags."""
-    for pattern, to in ((r"^\s*>+\s?", ""), (r"^\s{0,3}#{1,6}\s+", ""), (r"^\s*[-*+•]\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"(?<![\w*])[*_]([^*_]+)[*_](?![\w*])", "$1"), (r"~~([^~]+)~~", "$1"), (r"</?[a-zA-Z][^<>]*>", "")):
-        c = F.regexp_replace(c, pattern, to)
+    """Without marks of Markdown and HTML, which leave what they hold."""
+    for _, pattern in MARKUP:
+        c = F.regexp_replace(c, "(?U)" + pattern, "$1" if "(" in pattern else "")
     return c
 
 
+def words_of(c: Column) -> Column:
+    """Parts between white space; the first is empty if the text opens with some."""
+    return F.split(c, r"(?U)\s+")
+
+
+def _opens(c: Column, prefix: str, held) -> Column:
+    """Whether ``held(word, next word)`` is true of one of the first three words of a text, behind words that
+    match ``prefix`` only, the first of which is no connector."""
+    w = words_of(c)
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    plain = lambda i: at(i).rlike(prefix)
+    return ~at(0).isin("and", "&") & (held(at(0), at(1)) | plain(0) & (held(at(1), at(2)) | plain(1) & held(at(2), at(3))))
+
+
+#: A surname: a capital and any word's characters, apostrophes or hyphens.
+SURNAME = r"[A-ZÀ-Ý](?U:[\w'-]*)"
+
+
+def opens_with_initials(c: Column) -> Column:
+    """``Surname, I.`` behind up to two words."""
+    return _opens(c, "^[A-Za-zÀ-ÿ]+$", lambda a, b: a.rlike(rf"^{SURNAME},$") & b.rlike(r"^[A-ZÀ-Ý]\.") | a.rlike(rf"^{SURNAME},[A-ZÀ-Ý]\."))
+
+
+def opens_with_capitals(c: Column) -> Column:
+    """``Surname II`` behind up to two words in lower case."""
+    return _opens(c, "^[a-zà-ý]+$", lambda a, b: a.rlike(rf"^{SURNAME}$") & b.rlike(r"^[A-Z]{1,4}(?!(?U:\w))"))
+
+
+def opens_with_number(c: Column, shape: str | None = None) -> Column:
+    """``[n]``, ``n.`` or ``n)``, or up to three bare digits before white space."""
+    first = F.regexp_extract(c, r"(?U)^\s*(\S+)", 1)
+    tests = {"bracket": first.rlike(r"^\[\d+\]$"), "dot": first.rlike(r"^\d+[.)]$"), "bare": first.rlike(r"^\d{1,3}$") & c.rlike(r"(?U)^\s*\d+\s")}
+    return tests[shape] if shape else tests["bracket"] | tests["dot"] | tests["bare"]
+
+
+def opens_entry(c: Column) -> Column:
+    return opens_with_number(c) | opens_with_initials(c) | opens_with_capitals(c)
+
+
 def year_key(c: Column) -> Column:
     """Lower case; every spelling of "no date" is ``n.d.``."""
     x = F.lower(strip(c))
@@ -112,3 +180,9 @@ def bracketed_numbers(c: Column, most: int = 40) -> Column:
     good = lambda p: F.coalesce((lo(p) > 0) & F.when(ranged(p), (hi(p) > lo(p)) & (hi(p) - lo(p) <= most)).otherwise(True), F.lit(False))
     grown = F.array_distinct(F.flatten(F.transform(parts, lambda p: F.when(good(p), F.sequence(lo(p), F.greatest(lo(p), hi(p)))).otherwise(empty))))
     return F.when(F.forall(parts, good), grown).otherwise(empty)
+
+
+def size_label(size: Column) -> Column:
+    """Bytes in the unit they fill, units of 1024 with one decimal, halves to even."""
+    tenths = lambda unit: F.format_string("%.1f", F.bround(size / unit, 1))
+    return F.when(size < 1 << 10, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.concat(tenths(1 << 10), F.lit(" KB"))).otherwise(F.concat(tenths(1 << 20), F.lit(" MB")))

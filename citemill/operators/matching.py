@@ -23,37 +23,61 @@ def number_index(entries: DataFrame) -> DataFrame:
     return with_number.join(flags, "doc_id").select("doc_id", "n", F.when(F.col("numbered"), F.col("p")).otherwise(position).alias("number"), "numbered", "exhaustive")
 
 
-def resolve_numbered(markers: DataFrame, index: DataFrame) -> DataFrame:
-    """Equi-join of markers to entries by number.  A miss is orphaned only where the
+def citation_rows(entries: DataFrame, markers: DataFrame) -> DataFrame:
+    """Entries (doc_id, n, raw_text) and markers (doc_id, seq, number) of each document side by side, in one
+    shuffle by document: every later step is a window or an aggregate within it.
+
+    Rows have ``entry`` (else a marker), n, seq, number; a marker its status, reference_n and
+    confidence; an entry how often it is cited (``times``).
+    """
+    listed = entries.select("doc_id", F.lit(True).alias("entry"), "n", F.lit(None).cast("bigint").alias("seq"), printed_number(F.col("raw_text")).alias("p"))
+    cited = markers.select("doc_id", F.lit(False).alias("entry"), F.lit(None).cast("bigint").alias("n"), "seq", F.col("number").cast("bigint").alias("p"))
+    doc, is_entry = Window.partitionBy("doc_id"), F.col("entry")
+    printed = Window.partitionBy("doc_id", "entry", "p")
+    rows = listed.unionByName(cited).repartition("doc_id")
+    rows = rows.withColumn("again", is_entry & F.col("p").isNotNull() & (F.row_number().over(printed.orderBy("n", "seq")) > 1))
+    of_entries = lambda c: F.when(is_entry, c)
+    whole = (F.count(of_entries(F.lit(1))).over(doc), F.count(of_entries(F.col("p"))).over(doc), F.coalesce(F.max(F.col("again")).over(doc), F.lit(False)))
+    rows = rows.withColumns({"n_entries": whole[0], "numbered": (whole[0] == whole[1]) & ~whole[2], "lo": F.min(of_entries(F.col("p"))).over(doc), "hi": F.max(of_entries(F.col("p"))).over(doc), "place": F.row_number().over(doc.orderBy(F.desc("entry"), "n", "seq")).cast("bigint")})
+    rows = rows.withColumn("exhaustive", F.col("numbered") & (F.col("lo") == 1) & (F.col("hi") == F.col("n_entries")))
+    rows = rows.withColumn("number", F.when(is_entry & ~F.col("numbered"), F.col("place")).otherwise(F.col("p")))
+    same = Window.partitionBy("doc_id", "number")
+    rows = rows.withColumns({"reference_n": F.max(of_entries(F.col("n"))).over(same), "times": F.count(F.when(~is_entry, F.lit(1))).over(same)})
+    found, listed_here = F.col("reference_n").isNotNull(), F.col("n_entries") > 0
+    status = F.when(found, RESOLVED).when(listed_here & F.col("exhaustive"), ORPHANED).otherwise(UNRESOLVED)
+    confidence = F.when(found & F.col("numbered"), 1.0).when(found, 0.5).otherwise(0.0)
+    return rows.select("doc_id", "entry", "n", "seq", "number", "numbered", "exhaustive", F.when(~is_entry, status).alias("status"), "reference_n", confidence.alias("confidence"), "times")
+
+
+def resolve_numbered(markers: DataFrame, entries: DataFrame) -> DataFrame:
+    """Markers with the entry of their number.  A miss is orphaned only where the
     list is numbered and whole; else, or without a list, unresolved."""
-    flags = index.groupBy("doc_id").agg(F.first("numbered").alias("numbered"), F.first("exhaustive").alias("exhaustive"))
-    hit = markers.join(index.select("doc_id", "number", F.col("n").alias("reference_n")), ["doc_id", "number"], "left").join(flags, "doc_id", "left")
-    found = F.col("reference_n").isNotNull()
-    return hit.select(
-        "doc_id",
-        "seq",
-        "number",
-        F.when(found, RESOLVED).when(F.col("numbered") & F.col("exhaustive"), ORPHANED).otherwise(UNRESOLVED).alias("status"),
-        "reference_n",
-        F.when(found & F.col("numbered"), 1.0).when(found, 0.5).otherwise(0.0).alias("confidence"),
-    )
+    return citation_rows(entries, markers).where(~F.col("entry")).select("doc_id", "seq", "number", "status", "reference_n", "confidence")
 
 
 def resolve_author_date(markers: DataFrame, keys: DataFrame, similarity, least: float = 0.90, corroborating=None) -> DataFrame:
     """Best entry by name similarity times year agreement, ties ambiguous.
 
     markers (doc_id, seq, surname, year); keys (doc_id, n, surname, years, dated).  Years
-    veto first and equal names need no similarity call, so ``similarity`` (a column
-    function on two names) runs on the pairs that are left.  ``corroborating`` (a column
+    veto first, equal names need no similarity call and those with too few common letters can't
+    reach the threshold, so ``similarity`` (a column function on two names; null where it isn't
+    needed) works on the pairs that are left.  ``corroborating`` (a column
     function on the marker's ``others`` and the entry's ``surnames``) breaks ties.
     """
     from citemill.functions.text import year_agreement
 
     pairs = markers.join(keys.withColumnRenamed("surname", "entry_surname"), "doc_id", "left")
     pairs = pairs.withColumn("agree", F.when(F.col("n").isNotNull(), year_agreement(F.col("year"), F.col("years"), F.col("dated"))))
-    equal = F.lower("surname") == F.lower("entry_surname")
-    pairs = pairs.withColumn("score", F.when(F.col("agree").isNull(), 0.0).when(equal, F.col("agree")).otherwise(similarity(F.col("surname"), F.col("entry_surname")) * F.col("agree")))
-    pairs = pairs.withColumn("score", F.round("score", 6))
+    a, b = F.lower("surname"), F.lower("entry_surname")
+    # names of plain letters share no more than those that both have: too few for the threshold need no call
+    plain = F.col("surname").rlike("^[A-Za-z]+$") & F.col("entry_surname").rlike("^[A-Za-z]+$")
+    left_over = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))
+    most = 2 * F.least(F.length(a) - left_over(a, b), F.length(b) - left_over(b, a)) / (F.length(a) + F.length(b))
+    hopeless = plain & (most * F.col("agree") < least)
+    called = F.col("agree").isNotNull() & (a != b) & ~F.coalesce(hopeless, F.lit(False))
+    # a Python function is called for every row whatever a CASE says, so others get null
+    near = similarity(F.when(called, F.col("surname")), F.when(called, F.col("entry_surname")))
+    pairs = pairs.withColumn("score", F.round(F.when(F.col("agree").isNull(), 0.0).when(a == b, F.col("agree")).when(called, near * F.col("agree")).otherwise(0.0), 6))
     w = Window.partitionBy("doc_id", "seq")
     best = pairs.withColumn("best", F.max("score").over(w)).withColumn("at_best", F.coalesce((F.col("score") == F.col("best")) & (F.col("best") >= least), F.lit(False)))
     if corroborating is not None:
@@ -103,6 +127,11 @@ def per_reference(entries: DataFrame, matches: DataFrame, status: DataFrame) ->
     counts = citation_counts(matches).withColumnRenamed("reference_n", "n")
     maybe = (matches.select("doc_id", F.explode("candidates").alias("n")) if "candidates" in matches.columns else matches.select("doc_id", F.lit(None).cast("bigint").alias("n")).where("n is not null")).groupBy("doc_id", "n").agg(F.count("*").alias("possible"))
     rows = entries.select("doc_id", "n").join(status, "doc_id", "left").join(counts, ["doc_id", "n"], "left").join(maybe, ["doc_id", "n"], "left")
+    return labelled(rows)
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Claims, labels and figures of rows (doc_id, n, run_status, times_cited, possible)."""
     ok = F.col("run_status") == "ok"
     times, may = F.coalesce("times_cited", F.lit(0)), F.coalesce("possible", F.lit(0))
     label = (
@@ -119,19 +148,38 @@ def per_reference(entries: DataFrame, matches: DataFrame, status: DataFrame) ->
     return rows.select("doc_id", "n", F.when(ok, times).otherwise(0).alias("times_cited"), F.when(ok, may).otherwise(0).alias("possible"), (ok & (times == 0) & (may == 0)).alias("uncited"), label.alias("label"), figure.alias("figure"))
 
 
-def document_summary(documents: DataFrame, matches: DataFrame, references: DataFrame, status: DataFrame) -> DataFrame:
-    """Counts by status, uncited entries and a headline that states findings first."""
-    by = matches.groupBy("doc_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in (RESOLVED, AMBIGUOUS, ORPHANED, UNRESOLVED)], F.count("*").alias("markers"))
-    bare = references.where("uncited").groupBy("doc_id").agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda x: x.cast("string")), ",").alias("uncited_references"))
-    rows = documents.select("doc_id").join(status, "doc_id").join(by, "doc_id", "left").join(bare, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    many = lambda c, one, more: F.when(zero(c) == 1, one).when(zero(c) > 1, F.concat(c.cast("string"), F.lit(more)))
-    read = F.concat(zero(F.col("markers")).cast("string"), F.when(zero(F.col("markers")) == 1, " in-text citation read").otherwise(" in-text citations read"))
-    orphan = many(F.col(ORPHANED), "1 naming a reference this list does not carry", " naming a reference this list does not carry")
-    unused = many(F.col("k"), "1 reference with no citation found", " references with no citation found")
-    found = F.concat_ws(", ", orphan, unused)
-    ok = F.col("run_status") == "ok"
-    return rows.select("doc_id", "run_status", *[F.when(ok, zero(F.col(s))).otherwise(0).alias(s) for s in (RESOLVED, AMBIGUOUS, ORPHANED, UNRESOLVED)], F.when(ok, F.coalesce("uncited_references", F.lit(""))).otherwise("").alias("uncited_references"), F.when(~ok, "no finding").when(found == "", read).otherwise(F.concat_ws(" — ", read, found)).alias("headline"))
+def document_summary(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """Counts by status, uncited entries and a headline that states findings first, of documents (doc_id, has_body)
+    and rows (doc_id, entry, n, status, candidates where there are any, times, possible where there is one).
+    One aggregate by document."""
+    is_entry = F.col("entry")
+    may = F.coalesce(F.col("possible"), F.lit(0)) if "possible" in rows.columns else F.lit(0)
+    bare = F.when(is_entry & (F.col("times") == 0) & (may == 0), F.col("n"))
+    by = rows.groupBy("doc_id").agg(
+        *[F.count_if(~is_entry & (F.col("status") == s)).alias(s) for s in (RESOLVED, AMBIGUOUS, ORPHANED, UNRESOLVED)],
+        F.count_if(~is_entry).alias("markers"),
+        F.count(bare).alias("k"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(bare)), lambda x: x.cast("string")), ",").alias("uncited_references"),
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    run = F.when(~F.col("has_body"), "not_run").when(zero("markers") == 0, "none_detected").when(F.col(UNRESOLVED) == F.col("markers"), "none_matched").otherwise("ok")
+    out = documents.select("doc_id", "has_body").join(by, "doc_id", "left").withColumn("run_status", run)
+    many = lambda c, one, more: F.when(zero(c) == 1, one).when(zero(c) > 1, F.concat(F.col(c).cast("string"), F.lit(more)))
+    read = F.concat(zero("markers").cast("string"), F.when(zero("markers") == 1, " in-text citation read").otherwise(" in-text citations read"))
+    orphan = many(ORPHANED, "1 naming a reference this list does not carry", " naming a reference this list does not carry")
+    unused = many("k", "1 reference with no citation found", " references with no citation found")
+    found, ok = F.concat_ws(", ", orphan, unused), F.col("run_status") == "ok"
+    return out.select("doc_id", "run_status", *[F.when(ok, zero(s)).otherwise(0).alias(s) for s in (RESOLVED, AMBIGUOUS, ORPHANED, UNRESOLVED)], F.when(ok, F.coalesce("uncited_references", F.lit(""))).otherwise("").alias("uncited_references"), F.when(~ok, "no finding").when(found == "", read).otherwise(F.concat_ws(" — ", read, found)).alias("headline"))
+
+
+def reference_rows(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``per_reference`` of the same rows: the entries among them with the run's status by a window."""
+    doc, is_entry = Window.partitionBy("doc_id"), F.col("entry")
+    markers, none = F.count(F.when(~is_entry, F.lit(1))).over(doc), F.count(F.when(~is_entry & (F.col("status") == UNRESOLVED), F.lit(1))).over(doc)
+    own = rows.withColumns({"markers": markers, "none": none}).where(is_entry).join(documents.select("doc_id", "has_body"), "doc_id")
+    run = F.when(~F.col("has_body"), "not_run").when(F.col("markers") == 0, "none_detected").when(F.col("none") == F.col("markers"), "none_matched").otherwise("ok")
+    may = F.col("possible") if "possible" in rows.columns else F.lit(0).cast("bigint")
+    return labelled(own.select("doc_id", "n", run.alias("run_status"), F.col("times").alias("times_cited"), may.alias("possible")))
 
 
 # -- intervals ---------------------------------------------------------------------

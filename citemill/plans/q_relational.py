@@ -35,7 +35,7 @@ EVENTS = """
 
 
 def matched(t):
-    return mt.resolve_numbered(t("markers"), mt.number_index(t("entries")))
+    return mt.resolve_numbered(t("markers"), t("entries"))
 
 
 def result_rows(t):
@@ -100,9 +100,12 @@ PER = """
          FROM entries e JOIN runs r ON e.doc_id = r.doc_id LEFT JOIN (SELECT doc_id, reference_n, count(*) AS k FROM matches WHERE status = 'resolved' GROUP BY 1, 2) c ON c.doc_id = e.doc_id AND c.reference_n = e.n)"""
 
 
+def citation_rows(t):
+    return mt.citation_rows(t("entries"), t("markers"))
+
+
 def per_reference(t):
-    m = matched(t)
-    return mt.per_reference(t("entries"), m, mt.run_status(manuscripts(t), m))
+    return mt.reference_rows(manuscripts(t), citation_rows(t))
 
 
 @query("agg_per_reference", "refs", "markers", "entries", sql=f"WITH {MATCHES}, {STATUS}, {PER} SELECT doc_id, n, times_cited, 0::BIGINT AS possible, uncited, label, figure FROM per")
@@ -127,9 +130,7 @@ def _(t):
  FROM runs r LEFT JOIN by_status s ON r.doc_id = s.doc_id LEFT JOIN bare b ON r.doc_id = b.doc_id""",
 )
 def document_summary(t):
-    m = matched(t)
-    status = mt.run_status(manuscripts(t), m)
-    out = mt.document_summary(manuscripts(t), m, mt.per_reference(t("entries"), m, status), status)
+    out = mt.document_summary(manuscripts(t), citation_rows(t))
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("resolved", "ambiguous", "orphaned", "unresolved")})
 
 

@@ -50,6 +50,28 @@ def script_lines(t):
     return ln.lines_of(script(t))
 
 
+def plain(c: str) -> str:
+    """A line without marks, as the other engine's expression."""
+    for pattern, kept in ((r"^\s*>\s*", ""), (r"^#{1,6}\s*", ""), (r"^\s*[-*]\s+", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"_(.+?)_", r"\1"), (r"~~(.+?)~~", r"\1"), (r"</?[a-zA-Z][^<>]*>", "")):
+        c = f"regexp_replace({c}, '{pattern}', '{kept}', 'g')"
+    return c
+
+
+def starts_entry(c: str) -> str:
+    return (
+        f"(regexp_matches({c}, '^\\s*(\\[\\d+\\]|\\d+[.)])(\\s|$)') OR regexp_matches({c}, '^\\s*\\d{{1,3}}\\s') OR NOT regexp_matches({c}, '^(and|&)\\s') AND"
+        f" (regexp_matches({c}, '^([A-Za-zÀ-ÿ]+\\s+){{0,2}}[A-ZÀ-Ý][\\w''-]*,\\s*[A-ZÀ-Ý]\\.') OR regexp_matches({c}, '^([a-zà-ý]+\\s+){{0,2}}[A-ZÀ-Ý][\\w''-]*\\s+[A-Z]{{1,4}}\\b')))"
+    )
+
+
+def header(c: str) -> str:
+    """Neither bullet nor sentence nor start of an entry."""
+    return f"(trim({c}) <> '' AND NOT regexp_matches({c}, '^\\s*[-*]\\s+') AND NOT (regexp_matches(trim({plain(c)}), '[.?!][\"\\x27”)\\]]*$') AND len(list_filter(regexp_split_to_array(trim({plain(c)}), '\\s+'), lambda y: y <> '')) >= 4) AND NOT {starts_entry(plain(c))})"
+
+
+CANONICAL = f"regexp_replace(lower(trim({plain('text')})), '\\d+', '#', 'g')"
+
+
 ISO = "(trim(text) <> '' AND coalesce(trim(lag(text) OVER w), '') = '' AND coalesce(trim(lead(text) OVER w), '') = '')"
 W = "WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"
 
@@ -64,14 +86,13 @@ def _(t):
     return ln.without_page_numbers(script_lines(t)).select("doc_id", "line_no", "text")
 
 
-@query("nrm_decorative_bullets", "entries", "refs", sql=f"WITH {SCRIPT} SELECT doc_id, line_no::INTEGER AS line_no, text FROM (SELECT *, {ISO} AS i FROM sl {W}) x WHERE NOT (i AND regexp_matches(text, '^\\s*[-*+•]') AND length(trim(regexp_replace(text, '^\\s*[-*+•]\\s*', ''))) <= 1)")
+@query("nrm_decorative_bullets", "entries", "refs", sql=f"WITH {SCRIPT} SELECT doc_id, line_no::INTEGER AS line_no, text FROM (SELECT *, {ISO} AS i FROM sl {W}) x WHERE NOT (i AND regexp_matches(text, '^\\s*[-*]\\s+') AND length(trim({plain('text')})) <= 1)")
 def _(t):
     return ln.without_bullets(script_lines(t)).select("doc_id", "line_no", "text")
 
 
 HEADERS = f"""
- cand AS (SELECT doc_id, line_no, regexp_replace(lower(trim(text)), '\\d+', '#', 'g') AS canonical FROM (SELECT *, {ISO} AS i FROM sl {W}) x
-          WHERE i AND NOT (regexp_matches(text, '[.?!]["\\x27”)\\]]*\\s*$') AND len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda y: y <> '')) >= 4) AND NOT regexp_matches(text, '^\\s*([-*+•]\\s|\\[\\d+\\]|\\d+[.)]\\s)')),
+ cand AS (SELECT doc_id, line_no, {CANONICAL} AS canonical FROM (SELECT *, {ISO} AS i FROM sl {W}) x WHERE i AND {header('text')}),
  rep AS (SELECT *, count(*) OVER (PARTITION BY doc_id, canonical) AS k, row_number() OVER (PARTITION BY doc_id, canonical ORDER BY line_no) AS occurrence FROM cand QUALIFY k >= 2)"""
 
 
@@ -80,12 +101,12 @@ def _(t):
     return ln.repeated_lines(script_lines(t))
 
 
-@query("nrm_running_headers", "entries", "refs", sql=f"WITH {SCRIPT}, {HEADERS} SELECT doc_id, line_no::INTEGER AS line_no, text FROM sl WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.doc_id = sl.doc_id AND rep.line_no = sl.line_no AND NOT (occurrence = 1 AND canonical IN ('references', 'literature cited', 'acknowledgements')))")
+@query("nrm_running_headers", "entries", "refs", sql=f"WITH {SCRIPT}, {HEADERS}, gone AS (SELECT doc_id, line_no FROM rep WHERE NOT (occurrence = 1 AND canonical IN ('references', 'literature cited:', 'literature cited', 'acknowledgements'))) SELECT sl.doc_id, sl.line_no::INTEGER AS line_no, sl.text FROM sl LEFT JOIN gone ON gone.doc_id = sl.doc_id AND gone.line_no = sl.line_no WHERE gone.doc_id IS NULL")
 def _(t):
     return ln.without_running_headers(script_lines(t)).select("doc_id", "line_no", "text")
 
 
-@query("nrm_document_repeats", sql=f"WITH {LINES}, c AS (SELECT doc_id, line_no, regexp_replace(lower(trim(text)), '\\d+', '#', 'g') AS canonical FROM lines WHERE trim(text) <> '' AND NOT (regexp_matches(text, '[.?!][\"\\x27”)\\]]*\\s*$') AND len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda y: y <> '')) >= 4) AND NOT regexp_matches(text, '^\\s*([-*+•]\\s|\\[\\d+\\]|\\d+[.)]\\s)')) SELECT doc_id, line_no::INTEGER AS line_no, count(*) OVER (PARTITION BY doc_id, canonical) AS k FROM c QUALIFY k >= 2")
+@query("nrm_document_repeats", sql=f"WITH {LINES}, c AS (SELECT doc_id, line_no, {CANONICAL} AS canonical FROM lines WHERE {header('text')}) SELECT doc_id, line_no::INTEGER AS line_no, count(*) OVER (PARTITION BY doc_id, canonical) AS k FROM c QUALIFY k >= 2")
 def _(t):
     return ln.repeated_lines(lines(t), only_isolated=False).select("doc_id", "line_no", "k")
 
@@ -95,19 +116,11 @@ def _(t):
     return t("pages").select("page_id", F.length(F.regexp_replace("html", r"</?[a-zA-Z][^<>]*>", "")).alias("k"))
 
 
-@query("nrm_markup_lines", "entries", "refs", sql=f"WITH {SCRIPT} SELECT doc_id, line_no::INTEGER AS line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\\s{{0,3}}#{{1,6}}\\s+', ''), '^\\s*[-*+•]\\s+', ''), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '</?[a-zA-Z][^<>]*>', '', 'g') AS text FROM sl")
+@query("nrm_markup_lines", "entries", "refs", sql=f"WITH {SCRIPT} SELECT doc_id, line_no::INTEGER AS line_no, {plain('text')} AS text FROM sl")
 def _(t):
     return script_lines(t).select("doc_id", "line_no", tx.strip_markup(F.col("text")).alias("text"))
 
 
-@query("nrm_table_rows", "entries", sql="SELECT doc_id, n, i::INTEGER AS i, trim(part) AS part FROM (SELECT doc_id, n, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, n, string_split(regexp_replace('|**' || n || '.** ' || raw_text || ' | **' || (n + 1) || '.** more|', '\\|?\\s*\\*\\*(\\d+)\\.\\*\\*', chr(1) || '\\1.', 'g'), chr(1)) AS p FROM entries) x) y WHERE trim(part) <> ''")
-def _(t):
-    row = F.concat(F.lit("|**"), F.col("n").cast("string"), F.lit(".** "), "raw_text", F.lit(" | **"), (F.col("n") + 1).cast("string"), F.lit(".** more|"))
-    parts = F.split(F.regexp_replace(row, r"\|?\s*\*\*(\d+)\.\*\*", "\x01$1."), "\x01")
-    out = t("entries").select("doc_id", "n", F.posexplode(parts).alias("i", "part"))
-    return out.select("doc_id", "n", (F.col("i") + 1).alias("i"), F.trim("part").alias("part")).where("part <> ''")
-
-
 @query("nrm_entry_complete", "entries", sql="SELECT doc_id, n, regexp_matches(raw_text, '[.?!][\"\\x27”)\\]]*\\s*$') OR regexp_matches(raw_text, '(https?://|doi:|doi\\.org/|10\\.\\d{4,9}/)\\S+\\s*$') AS complete FROM entries")
 def _(t):
     return t("entries").select("doc_id", "n", tx.entry_complete(F.col("raw_text")).alias("complete"))
@@ -139,19 +152,33 @@ def _(t):
 
 @query("spl_blank_line_split", "entries", "refs", sql=f"WITH {SCRIPT}, g AS (SELECT *, trim(text) = '' AS b, sum(CASE WHEN trim(text) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM sl) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS n, string_agg(trim(text), ' ' ORDER BY line_no) AS raw_text FROM g WHERE NOT b GROUP BY doc_id, island")
 def _(t):
-    blocks = F.filter(F.split("text", r"\n\s*\n"), lambda x: F.trim(x) != "")
-    joined = F.transform(blocks, lambda b: F.array_join(F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " "))
-    return script(t).select("doc_id", F.posexplode(joined).alias("i", "raw_text")).select("doc_id", (F.col("i") + 1).cast("bigint").alias("n"), "raw_text")
+    return ln.blank_line_entries(script(t))
+
+
+def bibliographies(t):
+    """Reference lists as texts; every seventh has signs of both families besides, every eleventh none."""
+    lists = t("entries").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "raw_text"))), lambda x: x.raw_text), "\n").alias("text"))
+    both = F.lit('\n[1] Moe, L., "Of tides and sands," J., 1999.\n[2] Quill, T., 2001. Of sands.\nMoe L. Tides (3. Aufl.).\nBrack, U. (2002a). X. Abgerufen am 1. Mai von y.\n\nZed, Q. (2003). Z.')
+    return lists.select("doc_id", F.when(F.col("doc_id") % 11 == 0, "Only prose.\n").when(F.col("doc_id") % 7 == 0, F.concat("text", both)).otherwise(F.col("text")).alias("text"))
+
+
+BIBS = """
+ bibs AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Only prose.' || chr(10) WHEN doc_id % 7 = 0 THEN t || chr(10) || '[1] Moe, L., "Of tides and sands," J., 1999.' || chr(10) || '[2] Quill, T., 2001. Of sands.' || chr(10) || 'Moe L. Tides (3. Aufl.).' || chr(10) || 'Brack, U. (2002a). X. Abgerufen am 1. Mai von y.' || chr(10) || chr(10) || 'Zed, Q. (2003). Z.' ELSE t END AS text FROM (SELECT doc_id, string_agg(raw_text, chr(10) ORDER BY n) AS t FROM entries GROUP BY doc_id) x),
+ bl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM bibs),
+ per_line AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '^\\s*\\[\\d+\\](\\s|$)')) AS bracket_numbers, count(*) FILTER (regexp_matches(line, '^\\s*\\d+[.)](\\s|$)')) AS dot_numbers, count(*) FILTER (NOT regexp_matches(line, '^(and|&)\\s') AND regexp_matches(line, '^([a-zà-ý]+\\s+){0,2}[A-ZÀ-Ý][\\w''-]*\\s+[A-Z]{1,4}\\b')) AS jss_starts, count(*) AS lines FROM bl WHERE trim(line) <> '' GROUP BY doc_id),
+ profile AS (SELECT b.doc_id, bracket_numbers, dot_numbers, jss_starts, len(regexp_extract_all(text, '(^|[^0-9])\\((1[5-9]\\d\\d|20\\d\\d)[a-z]?\\b')) AS paren_years, len(regexp_extract_all(text, '([A-ZÀ-Ý]\\.|[A-ZÀ-Ý][\\w''-]+),\\s*(1[5-9]\\d\\d|20\\d\\d)[a-z]?\\.\\s+')) AS comma_years, len(regexp_extract_all(text, ',\\s["“][^"“”]{5,300}["”]')) AS quoted_titles, len(regexp_extract_all(text, '\\(\\d+\\.\\s*Aufl\\.\\)')) + len(regexp_extract_all(text, '(?i)\\bAbgerufen\\s+am\\b.*?\\bvon\\b')) AS german_signs,
+   len(list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, '([A-ZÀ-Ý]\\.|[A-ZÀ-Ý][\\w''-]+),\\s*(1[5-9]\\d\\d|20\\d\\d)[a-z]?\\.\\s+', ' ', 'g'), '([^0-9])\\((1[5-9]\\d\\d|20\\d\\d)[a-z]?\\b', ' ', 'g'), '\\d+'), lambda y: regexp_matches(y, '^(1[5-9]\\d\\d|20\\d\\d)$'))) AS bare_years, lines
+   FROM bibs b JOIN per_line p ON b.doc_id = p.doc_id)"""
 
 
-@query("spl_style_profile", "entries", sql="SELECT doc_id, count(*) FILTER (regexp_matches(raw_text, '^\\s*\\[\\d+\\](\\s|$)')) AS bracket_numbers, count(*) FILTER (regexp_matches(raw_text, '^\\s*\\d+[.)](\\s|$)')) AS dot_numbers, sum(len(regexp_extract_all(raw_text, '\\((1[5-9]\\d{2}|20\\d{2})[a-z]?\\b')))::BIGINT AS paren_years, count(*) AS lines FROM entries GROUP BY doc_id")
+@query("spl_style_profile", "entries", sql=f"WITH {BIBS} SELECT doc_id, bracket_numbers, dot_numbers, jss_starts, paren_years, comma_years, quoted_titles, german_signs, bare_years, lines, round(bare_years / lines, 6) AS bare_year_density FROM profile")
 def _(t):
-    return ln.style_profile(t("entries")).select("doc_id", "bracket_numbers", "dot_numbers", "paren_years", "lines")
+    return ln.style_profile(bibliographies(t)).withColumn("bare_year_density", F.round("bare_year_density", 6))
 
 
-@query("det_expected_families", "entries", sql="WITH p AS (SELECT doc_id, greatest(count(*) FILTER (regexp_matches(raw_text, '^\\s*\\[\\d+\\](\\s|$)')), count(*) FILTER (regexp_matches(raw_text, '^\\s*\\d+[.)](\\s|$)'))) AS a, coalesce(sum(len(regexp_extract_all(raw_text, '\\((1[5-9]\\d{2}|20\\d{2})[a-z]?\\b'))), 0) AS b FROM entries GROUP BY doc_id) SELECT doc_id, CASE WHEN a >= 2 AND b >= 2 AND a = b THEN 'author-date,numbered' WHEN a >= 2 AND a > b THEN 'numbered' WHEN b >= 2 AND b > a THEN 'author-date' ELSE '' END AS families FROM p")
+@query("det_expected_families", "entries", sql=f"WITH {BIBS} SELECT doc_id, CASE WHEN (greatest(bracket_numbers, dot_numbers) >= 2) = (greatest(paren_years, comma_years, jss_starts) >= 2) THEN 'author-date,numbered' WHEN greatest(bracket_numbers, dot_numbers) >= 2 THEN 'numbered' ELSE 'author-date' END AS families FROM profile")
 def _(t):
-    return ln.expected_families(ln.style_profile(t("entries")))
+    return ln.expected_families(ln.style_profile(bibliographies(t)))
 
 
 @query("spl_sentences", sql="SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS i, md5(s) AS digest FROM (SELECT doc_id, i, trim(p) AS s FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\.\\s+')) AS p, generate_subscripts(regexp_split_to_array(text, '\\.\\s+'), 1) AS i FROM documents) x) y WHERE s <> ''")
@@ -272,8 +299,7 @@ def _(t):
 
 @query("src_file_size_label", sql="SELECT doc_id, CASE WHEN k < 1024 THEN k || ' B' WHEN k < 1048576 THEN printf('%.1f KB', k / 1024.0) ELSE printf('%.1f MB', k / 1048576.0) END AS label FROM (SELECT doc_id, strlen(text) AS k FROM documents) x")
 def _(t):
-    k = F.octet_length("text")
-    return t("documents").select("doc_id", F.when(k < 1024, F.concat(k.cast("string"), F.lit(" B"))).when(k < 1048576, F.format_string("%.1f KB", k / 1024.0)).otherwise(F.format_string("%.1f MB", k / 1048576.0)).alias("label"))
+    return t("documents").select("doc_id", tx.size_label(F.octet_length("text")).alias("label"))
 
 
 @query("src_docx_paragraphs", sql="SELECT doc_id, length(replace(text, chr(10), chr(10) || chr(10)))::INTEGER AS k, len(string_split(text, chr(10)))::INTEGER AS paragraphs FROM documents")

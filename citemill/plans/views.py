@@ -25,8 +25,7 @@ VIEWS = {
         FROM part""",
     # reference lists
     "refs": """
-        SELECT doc_id, work_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY work_id) AS BIGINT) AS n
-        FROM (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_partkey AS BIGINT) AS work_id FROM lineitem) x""",
+        SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_partkey AS BIGINT) AS work_id, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS BIGINT) AS n FROM lineitem""",
     # printed entries; every tenth manuscript has lost its second entry, every third style prints no number
     "entries": """
         SELECT r.doc_id, r.n,
@@ -39,14 +38,45 @@ VIEWS = {
     # in-text markers: each cites a reference by number, every 17th one that the list can't have
     "markers": """
         SELECT m.doc_id, CAST(row_number() OVER (PARTITION BY m.doc_id ORDER BY m.l_linenumber, m.work_id, m.l_suppkey, m.l_extendedprice, m.l_quantity, m.l_shipdate) AS BIGINT) AS seq,
-               CASE WHEN (m.doc_id + m.work_id) % 17 = 0 THEN r.n + 50 ELSE r.n END AS number
-        FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_partkey AS BIGINT) AS work_id, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate FROM lineitem) m
-        JOIN refs r ON m.doc_id = r.doc_id AND m.work_id = r.work_id""",
+               CAST(dense_rank() OVER (PARTITION BY m.doc_id ORDER BY m.work_id) + CASE WHEN (m.doc_id + m.work_id) % 17 = 0 THEN 50 ELSE 0 END AS BIGINT) AS number
+        FROM (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_partkey AS BIGINT) AS work_id, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate FROM lineitem) m""",
     # author-date markers, some misspelt, some of another year, some without one
     "author_markers": """
         SELECT m.doc_id, m.seq, CASE WHEN m.seq % 9 = 4 THEN concat(w.surname, 'x') ELSE w.surname END AS surname,
                CASE WHEN m.seq % 7 = 3 THEN NULL WHEN m.seq % 5 = 2 THEN CAST(w.year + 1 AS STRING) ELSE CAST(w.year AS STRING) END AS year
         FROM markers m JOIN refs r ON m.doc_id = r.doc_id AND m.number = r.n JOIN works w ON r.work_id = w.work_id""",
+    # one sentence a work, with a marker in each form that a manuscript may have, or something like one
+    "forms": """
+        SELECT work_id, work_id % 14 AS form, surname, CAST(year AS STRING) AS y,
+               CASE work_id % 14
+                    WHEN 0 THEN concat('As ', surname, ' (', CAST(year AS STRING), ') holds.')
+                    WHEN 1 THEN concat('Here ', surname, ' and Moe (', CAST(year AS STRING), ', p. 15) differ.')
+                    WHEN 2 THEN concat('So it is (see ', surname, ', ', CAST(year AS STRING), '; Moe, n.d.).')
+                    WHEN 3 THEN 'It is known [12, p. 5] now.'
+                    WHEN 4 THEN 'As in Table [3] above.'
+                    WHEN 5 THEN 'It was 95% CI [2, 5] here.'
+                    WHEN 6 THEN concat('A note ends.', chr(10), '[3] ', surname, ' argues so.')
+                    WHEN 7 THEN concat('Die zweite Welle (', CAST(year AS STRING), ') kam.')
+                    WHEN 8 THEN concat('The war of ', surname, ' (1939-1945) ended.')
+                    WHEN 9 THEN 'All agree [1, 3-5].'
+                    WHEN 10 THEN concat('It began (Oktober ', CAST(year AS STRING), ') there.')
+                    WHEN 11 THEN concat('However, ', surname, ' (', CAST(year AS STRING), ') is.')
+                    WHEN 12 THEN concat('of van der ', surname, ' et al. (', CAST(year AS STRING), 'b) we')
+                    ELSE concat('f[7] and x = 3 (4)', chr(10), 'hold.') END AS text,
+               CASE work_id % 6
+                    WHEN 0 THEN '[12, p. 5]' WHEN 1 THEN concat(surname, ' (', CAST(year AS STRING), ')') WHEN 2 THEN concat('(see ', surname, ', ', CAST(year AS STRING), ')')
+                    WHEN 3 THEN concat('May (', CAST(year AS STRING), ')') WHEN 4 THEN '[9-3]' ELSE ' 3 ' END AS marker
+        FROM works""",
+    # one entry a work, in five styles, the last without a title that a rule could tell
+    "styled": """
+        SELECT w.work_id, w.surname, CAST(w.year AS STRING) AS y, lower(p.p_type) AS kind, w.work_id % 5 AS style,
+               CASE w.work_id % 5
+                    WHEN 0 THEN concat(w.surname, ', A., & Moe, B. (', CAST(w.year AS STRING), 'a). Notes on ', lower(p.p_type), '. Shore Letters, 3(2), 11-19.')
+                    WHEN 1 THEN concat(w.surname, ' A, Moe BC. Notes on ', lower(p.p_type), '. Shore Letters. ', CAST(w.year AS STRING), ';3:1-2.')
+                    WHEN 2 THEN concat('[7] A. ', w.surname, ' and B. Moe, "Notes on ', lower(p.p_type), '," Shore Letters, vol. 3, ', CAST(w.year AS STRING), '.')
+                    WHEN 3 THEN concat(w.surname, ', A., ', CAST(w.year AS STRING), '. Notes on ', lower(p.p_type), '. Shore Letters 3.')
+                    ELSE concat(w.surname, ', A: Notes on ', lower(p.p_type), ', Shore Letters 12, ', CAST(w.year AS STRING), '-', CAST(w.year + 3 AS STRING), '.') END AS raw_text
+        FROM part p JOIN works w ON w.work_id = p.p_partkey""",
     # outcome of the look-up of each reference, before duplicates are found
     "checked": """
         SELECT r.doc_id, r.n, w.title AS raw, w.surname,
@@ -57,7 +87,7 @@ VIEWS = {
         FROM refs r JOIN works w ON r.work_id = w.work_id
         JOIN (SELECT refs.doc_id, works.doi FROM refs JOIN works ON refs.work_id = works.work_id WHERE refs.n = 1) f ON f.doc_id = r.doc_id""",
 }
-NEEDS = {"works": [], "refs": [], "entries": ["refs", "works"], "markers": ["refs"], "author_markers": ["markers", "refs", "works"], "checked": ["refs", "works"]}
+NEEDS = {"works": [], "refs": [], "entries": ["refs", "works"], "markers": [], "author_markers": ["markers", "refs", "works"], "forms": ["works"], "styled": ["works"], "checked": ["refs", "works"]}
 
 
 def closed(names) -> list[str]:

@@ -68,10 +68,10 @@ def test_known_markers_are_parsed_without_context():
 
 # -- splitting -----------------------------------------------------------------------
 def test_split_gates():
-    assert sp.split_block("References\n[1] Quill, T. Tides one. 2011.\n[2] Brack U. Undated\nmore.\n[3] Zed, Q. Third 2010.") == ["Quill, T. Tides one. 2011.", "Brack U. Undated more.", "Zed, Q. Third 2010."]
+    assert sp.split_block("References\n[1] Quill, T. Tides one. 2011.\n[2] Brack U. Undated\nmore.\n[3] Zed, Q. Third 2010.") == ["Quill, T. Tides one. 2011.", "Brack U. Undated\nmore.", "Zed, Q. Third 2010."]
     assert sp.split_block("1. Aa bb cc 2001. 2. Dd ee ff. 2002. 3. Gg hh ii 2003.") == ["Aa bb cc 2001.", "Dd ee ff. 2002.", "Gg hh ii 2003."]
     assert sp.split_block("Quill, T. (2011). Sorting. Shore. Brack, U. (n.d.). Undated. Moe, L. (1999). Third.") == ["Quill, T. (2011). Sorting. Shore.", "Brack, U. (n.d.). Undated.", "Moe, L. (1999). Third."]
-    assert sp.split_block("Quill, T. (2011). One\nmore line.\nBrack, U. (2012). Two.") == ["Quill, T. (2011). One more line.", "Brack, U. (2012). Two."]
+    assert sp.split_block("Quill, T. (2011). One\nmore line.\nBrack, U. (2012). Two.") == ["Quill, T. (2011). One\nmore line.", "Brack, U. (2012). Two."]
     assert sp.split_block("First block\nhere 2001.\n\nSecond block 2002.") == ["First block here 2001.", "Second block 2002."]
     assert sp.split_block("just one text") == ["just one text"]
     assert sp.split_block(" \n ") == []
@@ -129,7 +129,7 @@ def test_other_names_break_ties(spark):
 def test_numbers_are_all_or_nothing(spark):
     e = spark.createDataFrame([(1, 1, "[1] a"), (1, 2, "[2] b"), (2, 1, "[1] a"), (2, 2, "b"), (3, 1, "[1] a"), (3, 2, "[3] b")], "doc_id long, n long, raw_text string")
     m = spark.createDataFrame([(d, 1, 5) for d in (1, 2, 3, 4)], "doc_id long, seq long, number long")
-    got = {r.doc_id: (r.status) for r in mt.resolve_numbered(m, mt.number_index(e)).collect()}
+    got = {r.doc_id: (r.status) for r in mt.resolve_numbered(m, e).collect()}
     assert got == {1: "orphaned", 2: "unresolved", 3: "unresolved", 4: "unresolved"}
 
 
@@ -147,9 +147,9 @@ def test_audit(spark):
 # -- lines ---------------------------------------------------------------------------------
 def test_normalization_chain():
     lines = no.normalize("# Title\n\nQuill, T. (2011). A very -\n\n12\n\nlong title. J.\n\n\n**bold** x.\n\n\n\nLast.")
-    assert [x[0] for x in lines] == ["Title", "", "Quill, T. (2011). A very - long title. J.", "", "bold x.", "", "Last."]
+    assert [x.text for x in lines] == ["Title", "", "Quill, T. (2011). A very - long title. J.", "", "bold x.", "", "Last."]
     merged = lines[2]
-    assert no.origin_at(merged, 0) == 2 and no.origin_at(merged, merged[0].index("long")) == 6
+    assert no.origin_at(merged, 0) == 2 and no.origin_at(merged, merged.text.index("long")) == 6
     assert no.normalize("") == []
     a, b = no.sentence_bounds("One is here. As Smith et al. say, it is so. Last one.", 20, 25)
     assert "One is here. As Smith et al. say, it is so. Last one."[a:b].strip() == "As Smith et al. say, it is so."
