@@ -78,6 +78,17 @@ def cited_by_text(crossref, openalex):
     return F.coalesce(F.nullif(F.concat_ws(" / ", text(crossref, "Crossref"), text(openalex, "OpenAlex")), F.lit("")), F.lit("—"))
 
 
+def cited_by_cell(status, crossref, openalex, merged):
+    """What a table shows of a work's citations: nothing but for a match; by source, else the merged count."""
+    either = crossref.isNotNull() | openalex.isNotNull()
+    return F.when(~status.isin("verified", "dup"), "—").when(either, cited_by_text(crossref, openalex)).otherwise(F.coalesce(F.format_number(merged, 0), F.lit("—")))
+
+
+def sub_line(name, count):
+    """A document's name and how many references it has."""
+    return F.concat(name, F.lit(" · "), count.cast("string"), F.when(count == 1, " reference").otherwise(" references"))
+
+
 def recall_precision(extracted: DataFrame, gold: DataFrame) -> DataFrame:
     """Per document, over distinct DOIs: hits, recall, precision and F1 (NaN where undefined)."""
     e, g = extracted.select("doc_id", "doi").where("doi is not null").distinct(), gold.select("doc_id", "doi").where("doi is not null").distinct()

@@ -50,3 +50,31 @@ def recategorize(status, to, dup_of):
 
 def stamp(at):
     return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def next_open(decided: DataFrame, queue: DataFrame) -> DataFrame:
+    """After each decided (doc_id, n) the open item that comes next: the first later one, else the first left."""
+    left = queue.groupBy("doc_id").agg(F.array_sort(F.collect_list("n")).alias("open"))
+    rows = decided.join(left, "doc_id", "left")
+    later, others = F.filter("open", lambda x: x > F.col("n")), F.filter("open", lambda x: x != F.col("n"))
+    return rows.select("doc_id", "n", F.coalesce(F.get(later, F.lit(0)), F.get(others, F.lit(0))).alias("next_n"))
+
+
+def confirm(results: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Results verified by a chosen candidate (doc_id, n, title, doi, score, source, outlet, year, retracted).  Its
+    retraction isn't taken over, but told."""
+    c = candidates.select("doc_id", "n", *[F.col(x).alias(f"c_{x}") for x in ("title", "doi", "score", "source", "outlet", "year", "retracted")])
+    given = lambda x: F.nullif(F.col(x), F.lit(""))
+    return results.join(c, ["doc_id", "n"]).select("doc_id", "n", F.lit("verified").alias("status"), F.col("c_title").alias("title"), F.col("c_doi").alias("doi"), F.col("c_score").alias("confidence"), F.coalesce(given("c_source"), F.lit("Manual review")).alias("source"), F.coalesce(given("c_outlet"), F.col("outlet")).alias("outlet"), F.col("c_year").alias("year"), F.col("c_retracted").alias("candidate_retracted"))
+
+
+def not_findable(results: DataFrame) -> DataFrame:
+    """Results marked as found nowhere, without what a match had given."""
+    kind = lambda c: results.schema[c].dataType
+    lost = {c: F.lit(None).cast(kind(c)) for c in ("citations", "retracted", "dup_of")}
+    return results.select("doc_id", "n", F.lit("halluc").alias("status"), F.lit("—").alias("title"), F.lit("no match").alias("doi"), lost["citations"].alias("citations"), lost["retracted"].alias("retracted"), F.lit("").alias("retraction_doi"), lost["dup_of"].alias("dup_of"))
+
+
+def watermark(mode, bundled):
+    """Whether a page says that it shows a demonstration: in demo mode, of the document that comes with it."""
+    return (mode == "demo") & bundled

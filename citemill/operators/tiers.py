@@ -30,6 +30,28 @@ def display_entry(source_text, raw_text):
     return F.coalesce(F.nullif(source_text, F.lit("")), raw_text)
 
 
+def widest_entry(source_text, raw_text):
+    """Both readings of an entry, for what must only be found in it."""
+    return F.concat_ws(" ", F.nullif(source_text, F.lit("")), raw_text)
+
+
+def first_source(asked: DataFrame, sources: dict[str, DataFrame], closed=frozenset()) -> DataFrame:
+    """Point look-ups (doc_id, n, asked: a DOI) in catalogues (doi, ...) in order: the first that knows it answers.  A catalogue
+    whose door is closed isn't asked."""
+    out, found, source = asked.withColumn("__k", F.lower("asked")), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, works) in enumerate(sources.items()):
+        if name not in closed:
+            out = out.join(works.select(F.lower("doi").alias("__k"), F.col("doi").alias(f"__{i}")).dropDuplicates(["__k"]), "__k", "left")
+            source = F.coalesce(source, F.when(F.col(f"__{i}").isNotNull(), name))
+            found = F.coalesce(found, F.col(f"__{i}"))
+    return out.select("doc_id", "n", "asked", source.alias("source"), found.alias("found"))
+
+
+def engine_of(preference, reachable):
+    """``engine`` as an expression."""
+    return F.when((preference == "text") | ~reachable, "tier0").otherwise("tier1")
+
+
 def combined_matches(contexts: DataFrame, own: DataFrame) -> DataFrame:
     """Matches of tier-1 contexts, supplemented by the text's own.
 
@@ -54,9 +76,9 @@ def combined_matches(contexts: DataFrame, own: DataFrame) -> DataFrame:
 
 def citation_places(matches: DataFrame) -> DataFrame:
     """Anchored places of each reference: resolved ones are certain, candidates aren't; certain ones first."""
-    sure = matches.where((F.col("status") == RESOLVED) & F.col("start").isNotNull()).select("doc_id", F.col("reference_n").alias("n"), "start", F.lit(True).alias("certain"))
-    maybe = matches.where((F.col("status") == AMBIGUOUS) & F.col("start").isNotNull()).select("doc_id", F.explode("candidates").alias("n"), "start", F.lit(False).alias("certain"))
-    both = sure.union(maybe)
+    certain = F.col("status") == RESOLVED
+    named = F.when(certain, F.array("reference_n")).when(F.col("status") == AMBIGUOUS, F.col("candidates"))
+    both = matches.where("start is not null").select("doc_id", F.explode(named).alias("n"), "start", certain.alias("certain"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "n").orderBy(F.desc("certain"), "start"))
     return both.withColumn("rank", rank.cast("bigint"))
 

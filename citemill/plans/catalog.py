@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.plans import q_more, q_procedural, q_relational, q_text  # noqa: F401  (they register)
+from citemill.plans import q_checks, q_more, q_procedural, q_relational, q_text  # noqa: F401  (they register)
 from citemill.plans.registry import ORACLES, QUERIES
 from citemill.plans.views import Tables
 

@@ -135,12 +135,3 @@ def _(t):
     e = t("entries").withColumn("m", F.when(F.col("n") == 2, F.lit(1).cast("bigint")).otherwise(F.col("n")))
     out = e.groupBy("doc_id", "m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "raw_text"))), lambda x: x.raw_text), " ").alias("raw_text"))
     return out.select("doc_id", F.col("m").alias("n"), "raw_text")
-
-
-@query("syn_seeded_order", "refs", sql="SELECT doc_id, n FROM refs")
-def _(t):
-    """A reproducible shuffle of each list: every entry once."""
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("n", F.lit(42)), "n"))
-    return t("refs").withColumn("k", k).select("doc_id", "n")

@@ -448,23 +448,23 @@ def _(t):
 
 
 @query("syn_text_defects", "works", sql="""SELECT work_id, CASE (work_id - 1) % 3 WHEN 0 THEN '[' || work_id || '] ' || title WHEN 1 THEN work_id || '. ' || title ELSE title END AS mixed, regexp_replace(regexp_replace('A "quoted" 12-19 ' || outlet, '"([^"]*)"', '“\\1”', 'g'), '(\\d)-(\\d)', '\\1–\\2', 'g') AS smart,
- substr(title, 1, CAST(floor(length(title) * 0.6) AS INTEGER)) AS cut, regexp_replace(title, '\\s+', ' ', 'g') AS merged FROM works""")
+ substr(title, 1, CAST(floor(length(title) * 0.6) AS INTEGER)) AS cut, 'a ' || regexp_replace(title, '\\s+', ' ', 'g') AS merged FROM works""")
 def _(t):
     w, title = t("works"), F.col("title")
-    return w.select("work_id", sy.mixed_numbering(title, F.col("work_id") - 1).alias("mixed"), sy.smart_punctuation(F.concat(F.lit('A "quoted" 12-19 '), "outlet")).alias("smart"), sy.truncate(title, 0.6).alias("cut"), F.regexp_replace("title", r"\s+", " ").alias("merged"))
+    return w.select("work_id", sy.mixed_numbering(title, F.col("work_id") - 1).alias("mixed"), sy.smart_punctuation(F.concat(F.lit('A "quoted" 12-19 '), "outlet")).alias("smart"), sy.truncate(title, 0.6).alias("cut"), sy.merged_entries(F.concat(F.lit(" a\n\n"), title)).alias("merged"))
 
 
 @query("syn_field_defects", "works", sql="""SELECT work_id, CASE WHEN length(surname) >= 3 AND m + 1 < length(surname) THEN substr(surname, 1, m) || substr(surname, m + 2, 1) || substr(surname, m + 1, 1) || substr(surname, m + 3) ELSE surname END AS typo,
- substr(CAST(year AS VARCHAR), 1, 2) || substr(CAST(year AS VARCHAR), 4, 1) || substr(CAST(year AS VARCHAR), 3, 1) AS swapped,
+ substr(CAST(year AS VARCHAR), 1, 1) || substr(CAST(year AS VARCHAR), 3, 1) || substr(CAST(year AS VARCHAR), 2, 1) || substr(CAST(year AS VARCHAR), 4, 1) AS swapped,
  regexp_extract(doi, '^(.*)(\\d)(\\D*)$', 1) || ((CAST(regexp_extract(doi, '^(.*)(\\d)(\\D*)$', 2) AS INTEGER) + 1) % 10) || regexp_extract(doi, '^(.*)(\\d)(\\D*)$', 3) AS doi,
- array_to_string(list_transform(list_filter(regexp_split_to_array('Journal of ' || outlet || ' and Notes', '\\s+'), lambda x: regexp_matches(x, '^[A-Z]')), lambda x: substr(x, 1, 1) || '.'), ' ') AS journal
+ array_to_string(list_transform(list_filter(regexp_split_to_array('Journal of ' || outlet || ' and Notes', '\\s+'), lambda x: regexp_matches(x, '^[A-Z]')), lambda x: substr(x, 1, 1) || '.'), '') AS journal
  FROM (SELECT *, CAST(floor(length(surname) / 2) AS INTEGER) AS m FROM works) x""")
 def _(t):
     w = t("works")
     return w.select("work_id", sy.author_typo(F.col("surname")).alias("typo"), sy.year_swap(F.col("year")).alias("swapped"), sy.doi_typo(F.col("doi")).alias("doi"), sy.journal_abbreviation(F.concat(F.lit("Journal of "), "outlet", F.lit(" and Notes"))).alias("journal"))
 
 
-@query("syn_doi_variants", "works", sql="SELECT work_id, v.variant, CASE v.variant WHEN 0 THEN doi WHEN 1 THEN 'doi:' || doi WHEN 2 THEN 'https://doi.org/' || doi ELSE upper(doi) END AS spelling, doi AS normalized FROM works, (VALUES (0), (1), (2), (3)) v(variant)")
+@query("syn_doi_variants", "works", sql="SELECT work_id, v.variant, CASE v.variant WHEN 0 THEN doi WHEN 1 THEN 'doi:' || doi WHEN 2 THEN 'https://doi.org/' || doi ELSE 'http://dx.doi.org/' || doi END AS spelling, doi AS normalized FROM works, (VALUES (0), (1), (2), (3)) v(variant)")
 def _(t):
     from citemill.functions.text import normal_doi
 

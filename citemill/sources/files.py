@@ -13,6 +13,21 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.xxhash64("name").alias("doc_id"), "name", F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).alias("suffix"), F.col("value").alias("text"))
 
 
+#: How a file is read, by its suffix: extracted text as it is, or paragraphs of a word processor's text.
+READERS = {".txt": "text", ".md": "text", ".docx": "paragraphs"}
+
+
+def dispatched(texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, name, text) read by their suffix, in any case: (doc_id, reader, k, part).  Paragraphs are parted by
+    line ends; other suffixes are unsupported and have no text."""
+    suffix = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))
+    reader = F.lit("unsupported")
+    for s, how in READERS.items():
+        reader = F.when(suffix == s, how).otherwise(reader)
+    parts = F.when(F.col("reader") == "paragraphs", F.split("text", "\n")).when(F.col("reader") == "text", F.array("text")).otherwise(F.array(F.lit(None).cast("string")))
+    return texts.withColumn("reader", reader).select("doc_id", "reader", F.posexplode(parts).alias("k", "part"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases: one JSON file a style, its cases exploded."""
     return spark.read.json(path, multiLine=True).select("style", F.explode("cases").alias("case")).select("style", "case.*")
