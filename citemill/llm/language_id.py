@@ -32,12 +32,13 @@ class Table:
         order = np.argsort(hashes)
         self.hashes, self.rows = hashes[order], rows[order].astype(np.float32)
 
-    def known(self, strings: list[str]) -> np.ndarray:
-        """Rows of the strings that are known, in their order."""
+    def find(self, strings: list[str]) -> np.ndarray:
+        """Places of the strings, -1 of those that it doesn't have."""
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return self.rows[at[self.hashes[at] == h]] if len(self.hashes) else self.rows[:0]
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
 
 
 @dataclass
@@ -49,17 +50,29 @@ class Backoff:
     grams: Table
     longest: int
 
-    def row(self, word: str) -> np.ndarray | None:
-        """Scores of one word, None if it has no letter or nothing is known of it."""
-        if len(own := self.words.known([word])):
-            return own[0]
-        if not any(map(str.isalpha, word)):
-            return None
-        padded = f"<{word}>"
-        for n in range(min(self.longest, len(padded)), 0, -1):
-            if len(known := self.grams.known([padded[k : k + n] for k in range(len(padded) - n + 1)])):
-                return known.mean(axis=0)
-        return None
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words, and whether anything is known of each (else, or without a letter, zeros)."""
+        out, known = np.zeros((len(words), max(1, len(self.langs))), dtype=np.float32), np.zeros(len(words), dtype=bool)
+        at = self.words.find(words)
+        out[at >= 0], known[at >= 0] = self.words.rows[at[at >= 0]], True
+        left = [i for i in np.flatnonzero(at < 0).tolist() if any(map(str.isalpha, words[i]))]
+        for n in range(self.longest, 0, -1):
+            some = [i for i in left if len(words[i]) + 2 >= n]
+            if not some:
+                continue
+            grams, starts = [], []
+            for i in some:
+                padded = f"<{words[i]}>"
+                starts.append(len(grams))
+                grams += [padded[k : k + n] for k in range(len(padded) - n + 1)]
+            at = self.grams.find(grams)
+            hit = at >= 0
+            number = np.add.reduceat(hit, starts, dtype=np.int64)
+            total = np.add.reduceat(np.where(hit[:, None], self.grams.rows[at], 0), starts, axis=0) if hit.any() else np.zeros((len(some), out.shape[1]))
+            place, scored = np.array(some), number > 0
+            out[place[scored]], known[place[scored]] = total[scored] / number[scored, None], True
+            left = [i for i in left if not known[i]]
+        return out, known
 
 
 class Scorer:
@@ -74,14 +87,14 @@ class Scorer:
         self.rows = np.zeros((1024, max(1, len(self.model.langs))), dtype=np.float32)
         self.counts = np.zeros(1024, dtype=np.float32)
 
-    def _index(self, word: str) -> int:
-        i = len(self.at)
-        if i == len(self.rows):
-            self.rows, self.counts = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
-        if (row := self.model.row(word)) is not None:
-            self.rows[i], self.counts[i] = row, 1
-        self.at[word] = i
-        return i
+    def learn(self, words: list[str]) -> None:
+        """Hold the rows of words not met before."""
+        first, need = len(self.at), len(self.at) + len(words)
+        if need > len(self.rows):
+            more = max(need, 2 * len(self.rows)) - len(self.rows)
+            self.rows, self.counts = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), np.float32)]), np.concatenate([self.counts, np.zeros(more, np.float32)])
+        self.rows[first:need], self.counts[first:need] = self.model.rows(words)
+        self.at.update(zip(words, range(first, need)))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         langs = self.model.langs
@@ -90,8 +103,9 @@ class Scorer:
             return UNDETERMINED, 0.0
         if len(self.at) > self.most_held:
             self.clear()
-        get = self.at.get
-        idx = [i if (i := get(w)) is not None else self._index(w) for w in words]
+        if fresh := set(words) - self.at.keys():
+            self.learn(sorted(fresh))
+        idx = [self.at[w] for w in words]
         known = self.counts[idx].sum()
         if not known:  # letters, but none known to any language: the most common language, with no confidence
             return langs[0], 1.0 / len(langs)
