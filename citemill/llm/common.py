@@ -11,6 +11,7 @@ import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+ROWS_PER_FILE = 10_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -58,12 +59,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here, and a lost
     executor costs no recomputation of what came before.  The folder goes when it is
-    dropped, with its scope, or with the driver."""
+    dropped, with its scope, or with the driver.  Of ``rows`` short rows at most, some thousands go to a
+    file, so a small table isn't a file for each shuffle partition."""
     spark = df.sparkSession
     path = scratch_dir(spark)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _path, path)

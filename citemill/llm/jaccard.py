@@ -198,7 +198,7 @@ def _held_together(found: DataFrame, sizes: DataFrame, percent: int, rounds: int
         enough = members.join(keys, "block").groupBy("node").agg(F.sum("keys").alias("s")).join(sizes, "node").where(F.col("s") >= least)
         members = members.join(enough.select("node"), "node", "left_semi")
         several = members.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
-        members = stored(members.join(several, "block", "left_semi"))
+        members = stored(members.join(several, "block", "left_semi"), found.count())
         made.append(members)
     dropped(*made[:-1])
     return members
@@ -391,8 +391,9 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, w
     for a node of some pair are read again: a bitmap of their ids, or a join beyond ``most_bits``, tells most others
     apart, and the join by node the rest."""
     spark = docs.sparkSession
-    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct())
-    ids = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct())
+    most = 2 * pairs.count()
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct(), most)
+    ids = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct(), most)
     schema, wanted = arrow_schema("node bigint, h binary"), ids.count()
     bits = 1 << max(16, (16 * wanted).bit_length())
     sent = spark.sparkContext.broadcast(_id_bitmap(ids, bits)) if bits <= most_bits else None
@@ -410,7 +411,8 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, w
     if sent is None:  # too many for a bitmap that all tasks hold: texts meet their ids in a shuffle
         rows = rows.join(ids.withColumnRenamed("id", key), key, "left_semi")
     rows = rows.select(F.pmod(F.xxhash64(F.col(key)), F.lit(bits)).alias("p"), F.col(text).cast("string").alias("t"))
-    full = stored(rows.mapInArrow(read, "node bigint, h binary").join(nodes, "node", "left_semi"))
+    # a file holds some hundred sets
+    full = stored(rows.mapInArrow(read, "node bigint, h binary").join(nodes, "node", "left_semi").repartition(max(1, -(-wanted // 400))))
     full = full.dropDuplicates(["node"])
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(full.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
     out = arrow_schema("a bigint, b bigint")
@@ -433,7 +435,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of all linked nodes, root the component's least node: alternating
     large-star and small-star steps, each stored in the shared folder.  Raises if
     ``rounds`` of them don't settle the edges."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), links.count())
     last = None
     for _ in range(rounds):
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -447,7 +449,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, edges = edges, stored(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        old, edges = edges, stored(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 2 * mark[0])
         dropped(old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -501,16 +503,16 @@ def _placed(docs: DataFrame, *, key: str, text: str, width: int = 4, percent: in
     # first the blocks that are some node's largest or smallest, which join up most components
     sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("k")), "block")
     chosen = sized.groupBy("node").agg(F.array(F.max_by("block", F.struct("k", "block")), F.min_by("block", F.struct("k", "block"))).alias("bs")).select(F.explode("bs").alias("block")).distinct()
-    near = stored(blocks.join(chosen, "block", "left_semi").select("block", "node"))
+    near = stored(blocks.join(chosen, "block", "left_semi").select("block", "node"), blocks.count())
     described = sets.where("id is not null").select("node", "n", "point", "cells", "firsts")
     info = described.drop("firsts").join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     rows = near.join(info, "node").select("block", "n", "node", "point", "cells")
     first = stored(rows.repartition(spread, "block").sortWithinPartitions("block", "n", "node").mapInArrow(_first_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
-    links = stored(verified(docs, sets, first, percent, width, key, text))
-    roots = stored(components(links))
+    links = stored(verified(docs, sets, first, percent, width, key, text), first.count())
+    roots = stored(components(links), 2 * links.count())
     # then, in every block, rows outside its largest component meet all others of it
     rest = blocks.join(roots, "node", "left").select("block", "node", "key", F.coalesce("root", "node").alias("comp"))
-    parts = stored(rest.groupBy("block", "comp").agg(F.count("*").alias("k")))
+    parts = stored(rest.groupBy("block", "comp").agg(F.count("*").alias("k")), blocks.count())
     main = parts.groupBy("block").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("m")).where("k > m")
     if not main.isEmpty():
         deal = main.select("block", "main", F.ceil(F.col("k") / most_rows).cast("int").alias("rb"), F.ceil((F.col("k") - F.col("m")) / most_rows).cast("int").alias("sb"))
@@ -524,7 +526,8 @@ def _placed(docs: DataFrame, *, key: str, text: str, width: int = 4, percent: in
         both = whole.unionByName(strays).select(F.xxhash64("block", "r", "s").alias("part"), "kind", *cols)
         more = stored(both.repartition(spread, "part").sortWithinPartitions("part", "kind", "n", "node").mapInArrow(_between_pairs(percent, pair_schema), "a bigint, b bigint").distinct())
         if not more.isEmpty():
-            roots = components(links.union(verified(docs, sets, more, percent, width, key, text)))
+            links = stored(links.union(verified(docs, sets, more, percent, width, key, text)), links.count() + more.count())
+            roots = components(links)
     placed = sets.select("id", "digest", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root is not null and id is not null").groupBy("root").agg(F.min(F.struct("id", "digest")).alias("least"))
     return placed.join(least, "root", "left").select("id", "digest", "n", F.coalesce("least.id", "id").alias("component_id"), F.col("least.digest").alias("kept"))
