@@ -184,8 +184,8 @@ def test_language(spark, small, odd, none):
 def test_backoff_takes_the_longest_known_grams():
     words, grams = language_id.Table(["the"], np.array([[0, -9]])), [language_id.Table(["<d"], np.array([[-9, 0]])), language_id.Table(["e"], np.array([[-1, -2]]))]
     m = language_id.Backoff(["a", "b"], words, language_id.joined(grams), 4)
-    assert m.row("the").tolist() == [0, -9] and m.row("den").tolist() == [-9, 0] and m.row("ze").tolist() == [-1, -2]
-    assert m.row("zz") is None and m.row("²") is None
+    rows, known = m.rows(["the", "den", "ze", "zz", "²", "eed"])
+    assert rows.tolist() == [[0, -9], [-9, 0], [-1, -2], [0, 0], [0, 0], [-1, -2]] and known.tolist() == [True, True, True, False, False, True]
     assert language_id.Scorer(m)("the den")[0] in "ab"
 
 
@@ -313,13 +313,14 @@ def test_nearest(spark, folder, how):
 
 
 def test_nearest_in_a_large_block(spark):
-    """Production parameters where a scan cuts hard: 12,000 vectors, two centres, clusters of unlike lengths."""
+    """Production parameters, and several centres, where a scan cuts hard: 12,000 vectors in clusters of unlike lengths."""
     rnd = np.random.default_rng(3)
     centres = rnd.normal(size=(40, 32))
     x = (centres[rnd.integers(0, 40, 12_000)] + rnd.normal(size=(12_000, 32)) * 0.7) * rnd.uniform(0.5, 2, (12_000, 1))
     x, ids = x.astype(np.float32).astype(np.float64), np.arange(12_000) * 2
     df = spark.createDataFrame(zip(ids.tolist(), x.tolist()), "vec_id long, embedding array<float>")
     assert recall_of(ann.search(df).collect(), x, ids) >= 0.9
+    assert recall_of(ann.search(df, rows_per_part=2_000).collect(), x, ids) >= 0.9
 
 
 def test_nearest_odd_vectors(spark):
