@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from citemill.llm.common import arrow_map, bounded_batches, stored
+from citemill.llm.common import arrow_map, bounded_batches, fresh, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -78,7 +79,7 @@ class Backoff:
 class Scorer:
     """Scores texts, holding the rows of words met (a bounded table)."""
 
-    def __init__(self, model: Backoff, most_held: int = 50_000):
+    def __init__(self, model: Backoff, most_held: int = 150_000):
         self.model, self.most_held = model, most_held
         self.clear()
 
@@ -97,17 +98,34 @@ class Scorer:
         self.at.update(zip(words, range(first, need)))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        langs = self.model.langs
-        words = WORD.findall((text or "").lower())
-        if not langs or not any(any(map(str.isalpha, w)) for w in words):
-            return UNDETERMINED, 0.0
+        return next(self.many([text]))
+
+    def many(self, texts, together: int = 30_000) -> Iterator[tuple[str, float]]:
+        """(language, score) of each text.  New words are scored together for some texts at a time."""
+        held, size = [], 0
+        for t in texts:
+            held.append(words := WORD.findall((t or "").lower()))
+            size += len(words)
+            if size > together:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
+
+    def _some(self, texts: list[list[str]]) -> Iterator[tuple[str, float]]:
         if len(self.at) > self.most_held:
             self.clear()
-        if fresh := set(words) - self.at.keys():
+        if fresh := [w for w in set().union(*texts) if w not in self.at]:
             self.learn(sorted(fresh))
-        idx = [self.at[w] for w in words]
+        for words in texts:
+            yield self._best(words)
+
+    def _best(self, words: list[str]) -> tuple[str, float]:
+        langs, idx = self.model.langs, [self.at[w] for w in words]
         known = self.counts[idx].sum()
-        if not known:  # letters, but none known to any language: the most common language, with no confidence
+        if not known:
+            if not langs or not any(any(map(str.isalpha, w)) for w in words):
+                return UNDETERMINED, 0.0
+            # letters, but none known to any language: the most common language, with no confidence
             return langs[0], 1.0 / len(langs)
         # in the order of the words, so that equal texts score alike on any worker
         total = self.rows[idx].sum(axis=0, dtype=np.float64)
@@ -116,21 +134,21 @@ class Scorer:
         return langs[best], float(p[best] / p.sum())
 
 
-def learn(docs: DataFrame, *, key: str, text: str, lang: str, docs_per_lang: int = 2_000, max_langs: int = 512, max_words: int = 100_000, max_grams: int = 100_000, longest: int = 4, floor: float = 2.0) -> Backoff:
+def learn(docs: DataFrame, *, key: str, text: str, lang: str, docs_per_lang: int = 2_000, max_words: int = 200_000, max_grams: int = 200_000, least_entries: int = 1_000, longest: int = 4, floor: float = 2.0) -> Backoff:
     """Fit on a sample of about ``docs_per_lang`` rows of each language (whole texts,
-    chosen by a hash of the key), the ``max_langs`` most common languages, and the
-    ``max_words`` words and ``max_grams`` n-grams of each length seen most.  These
-    parameters bound the fit and what reaches the driver; rows with a null
-    text, language or key teach nothing.
+    chosen by a hash of the key), all languages, and of each language
+    the words and n-grams of each length that it has most of: its share of ``max_words`` and ``max_grams``, but
+    ``least_entries`` at least, so no language's entries displace another's.  These parameters bound the fit and what
+    reaches the driver; rows with a null text, language or key teach nothing.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("k is not null and t is not null and l is not null")
-    per = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    per = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").collect()
     langs = [r[0] for r in per]
     if not langs:
         return Backoff([], Table([], np.zeros((0, 1))), Table([], np.zeros((0, 1))), longest)
     part = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1_000_000))
     rate = F.create_map(*[x for r in per for x in (F.lit(r[0]), F.lit(min(1_000_000, max(1, 1_000_000 * docs_per_lang // r[1]))))])
-    sample = rows.where(F.col("l").isin(langs)).where(part < rate[F.col("l")])
+    sample = rows.where(part < rate[F.col("l")])
     bounded_batches(docs.sparkSession)
 
     def count(cols):
@@ -141,22 +159,27 @@ def learn(docs: DataFrame, *, key: str, text: str, lang: str, docs_per_lang: int
         return dict(zip(("l", "w", "c"), map(list, zip(*flat)))) if flat else {"l": [], "w": [], "c": []}
 
     counts = stored(arrow_map(sample.select("t", "l"), count, "l string, w string, c bigint").groupBy("l", "w").agg(F.sum("c").alias("c")))
-    by_lang = [F.sum(F.when(F.col("l") == l, F.col("c")).otherwise(0)).alias(f"c{k}") for k, l in enumerate(langs)]
-    cap = lambda df, most: df.groupBy("g").agg(F.sum("c").alias("all"), *by_lang).orderBy(F.desc("all"), "g").limit(most).toArrow()
-
-    def scored(found) -> Table:
-        c = np.column_stack([found.column(f"c{k}").to_numpy() for k in range(len(langs))]).astype(np.float64).reshape(-1, len(langs))
+    place = {l: k for k, l in enumerate(langs)}
+
+    def scored(found: DataFrame, most: int) -> Table:
+        """Entries (l, g, c): those that any language has most of, with their counts in all."""
+        rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("c"), "g"))
+        kept = found.withColumn("r", rank).where(F.col("r") <= max(least_entries, most // len(langs))).select("g").distinct()
+        rows = found.join(kept, "g", "left_semi").select("g", "l", "c").toArrow()
+        strings, at = rows.column("g").combine_chunks().dictionary_encode(), rows.column("l").to_pylist()
+        c = np.zeros((len(strings.dictionary), len(langs)))
+        c[strings.indices.to_numpy(), [place[l] for l in at]] = rows.column("c").to_numpy()
         total = np.maximum(c.sum(axis=0), 1)
         # what a language never had costs more than its rarest entry, by ``floor``
         least = -np.log(total.max()) - floor
-        return Table(found.column("g").to_pylist(), np.where(c > 0, np.log(np.maximum(c, 1e-12) / total), least))
+        return Table(strings.dictionary.to_pylist(), np.where(c > 0, np.log(np.maximum(c, 1e-12) / total), least))
 
     grams = []
     for n in range(1, longest + 1):
         padded = F.concat(F.lit("<"), "w", F.lit(">"))
         each = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
-        grams.append(scored(cap(counts.where(F.length("w") + 2 >= n).select("l", F.explode(each).alias("g"), "c"), max_grams)))
-    words = scored(cap(counts.withColumnRenamed("w", "g"), max_words))
+        grams.append(scored(counts.where(F.length("w") + 2 >= n).select("l", F.explode(each).alias("g"), "c").groupBy("l", "g").agg(F.sum("c").alias("c")), max_grams))
+    words = scored(counts.withColumnRenamed("w", "g"), max_words)
     return Backoff(langs, words, joined(grams), longest)
 
 
@@ -179,7 +202,7 @@ def predictor(spark, model: Backoff):
     def predict(texts: pd.Series) -> pd.DataFrame:
         nonlocal scorer
         scorer = scorer or Scorer(sent.value)
-        return pd.DataFrame([scorer(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(list(scorer.many(texts)), columns=["lang_pred", "score"])
 
     return predict
 
@@ -190,7 +213,8 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     Rows whose crc32 of the key (as text) is a multiple of ``folds`` are held out;
     the others teach.  Null text, or one without a letter, gives ``und`` and 0; a
     null key teaches nothing and is not held out; if nothing teaches, all is
-    ``und``; repeated rows give repeated rows; other columns are ignored.
+    ``und``; repeated rows give repeated rows; of two languages that score alike the more common one (then the first
+    by name) is predicted; very long texts are scored whole; other columns are ignored.
     """
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(False))
     model = learn(docs.where(~held), key=key, text=text, lang=lang, **fit)
@@ -199,9 +223,14 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
 
 
 def reject_unidentified(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5, **fit) -> DataFrame:
-    """Rows whose language is determined with a score of ``least`` or more, columns as they are."""
+    """Rows whose language is determined with a score of ``least`` or more, columns as they are.
+
+    Null texts and those without a letter go, as do all where nothing teaches; a null key teaches nothing and its
+    row is judged like any other; repeated rows are each judged; an empty table stays empty; of two languages that
+    score alike the more common one is taken; very long texts are read whole; columns may have any names.
+    """
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
     predict = predictor(docs.sparkSession, learn(docs.where(~held), key=key, text=text, lang=lang, **fit))
-    names = docs.columns
-    p = docs.withColumn("__p", predict(F.col(text).cast("string")))
-    return p.where((F.col("__p.lang_pred") != UNDETERMINED) & (F.col("__p.score") >= least)).select(*names)
+    (p,) = fresh(docs, "__p")
+    said = docs.withColumn(p, predict(F.col(text).cast("string")))
+    return said.where((F.col(p)["lang_pred"] != UNDETERMINED) & (F.col(p)["score"] >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
