@@ -98,6 +98,17 @@ def scope():
     _drop_paths({p: _made.pop(p) for p in list(_made) if p not in before and p not in keep})
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the frame has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string (made on the driver)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -110,8 +121,20 @@ def record_batch(schema: pa.Schema, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def arrow_map(df: DataFrame, fn, ddl: str) -> DataFrame:
-    """``fn(dict of Python lists) -> dict of columns`` over each Arrow batch."""
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker lives on, and the next stage's tasks need the room."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # where the C library has it
+        libc.malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn, ddl: str, done=give_back) -> DataFrame:
+    """``fn(dict of Python lists) -> dict of columns`` over each Arrow batch; ``done`` at the task's end."""
     names, out = df.columns, arrow_schema(ddl)
 
     def run(batches):
@@ -119,5 +142,7 @@ def arrow_map(df: DataFrame, fn, ddl: str) -> DataFrame:
             if batch.num_rows:
                 got = fn({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
                 yield record_batch(out, [got[f.name] for f in out])
+                del got
+        done()
 
     return df.mapInArrow(run, ddl)

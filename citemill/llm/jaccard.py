@@ -33,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from citemill.llm.common import arrow_map, arrow_schema, bounded_batches, dropped, record_batch, stored
+from citemill.llm.common import arrow_map, arrow_schema, bounded_batches, dropped, fresh, give_back, record_batch, stored
 
 GROUPS, LEAF = 32, 16
 #: Buckets of hashes that corpus counts are kept for (a number each on the driver), and keys that tell where a pair is tried.
@@ -98,6 +98,7 @@ def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
                 np.add.at(total, bucket_of(shingles(t.as_py(), width)), 1)
         some = np.flatnonzero(total)
         yield record_batch(schema, [some, total[some]])
+        give_back()
 
     found = docs.select(F.col(text).cast("string")).mapInArrow(count, "bucket int, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(BUCKETS, dtype=np.int64)
@@ -185,6 +186,7 @@ def _blocks(batches, out, most: int = 200_000):
     if len(tail_k):
         yield from closed(tail_k, tail_v)
     yield from counted()
+    give_back()
 
 
 def _held_together(found: DataFrame, sizes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
@@ -329,6 +331,7 @@ def _first_pairs(percent: int, schema, most: int = 1_024):
                 yield _pairs(schema, a, b)
                 a, b = [], []
         yield _pairs(schema, a, b)
+        give_back()
 
     return run
 
@@ -359,6 +362,7 @@ def _between_pairs(percent: int, schema):
                 yield _pairs(schema, a, b)
                 a, b = [], []
         yield _pairs(schema, a, b)
+        give_back()
 
     return run
 
@@ -427,6 +431,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, w
                     a.append(x.as_py())
                     b.append(y.as_py())
             yield record_batch(out, [a, b])
+        give_back()
 
     return both.select("a", "b", "ha", "hb").mapInArrow(compare, "a bigint, b bigint")
 
@@ -461,8 +466,8 @@ def join_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
 
     Null or wordless text has an empty set and is linked with nothing.  Rows that
     repeat a key and text belong together like any equal texts; rows without a
-    key get the component of an equal text that has one, else null.  An empty
-    table gives an empty result; other columns are ignored.
+    key get the component of an equal text that has one, else null.  Very long texts are compared
+    whole; an empty table gives an empty result; other columns are ignored.
     """
     placed = _placed(docs, key=key, text=text, width=width, percent=percent, most_rows=most_rows)
     return placed.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
@@ -540,14 +545,19 @@ def _digest(text: str):
 def keep_representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_broadcast: int = 1_000_000, **how) -> DataFrame:
     """One row of ``docs`` a component: of the least key, and there of the least digest of
     a text.  Rows that repeat a key and text become one, any of them; other texts of
-    one key are judged on their own; rows without a key stay."""
-    rows = stored(_placed(docs, key=key, text=text, **how).where("id is not null").select(F.col("id").alias(key), F.col("digest").alias("__digest"), ((F.col("id") != F.col("component_id")) | F.coalesce(F.col("digest") != F.col("kept"), F.lit(False))).alias("gone")))
+    one key are judged on their own; rows without a key stay.  Null and wordless texts are linked with nothing, so
+    a row of each key stays; an empty table stays empty; very long texts are compared whole; columns may have any names.
+    """
+    (d,) = fresh(docs, "__digest")
+    rows = _placed(docs, key=key, text=text, **how).where("id is not null")
+    gone = (F.col("id") != F.col("component_id")) | F.coalesce(F.col("digest") != F.col("kept"), F.lit(False))
+    rows = stored(rows.select(F.col("id").alias(key), F.col("digest").alias(d), gone.alias("gone")))
     gone = stored(rows.where("gone").drop("gone").distinct())
-    again = stored(rows.where("not gone").groupBy(key, "__digest").count().where("count > 1").drop("count"))
-    near = lambda d: F.broadcast(d) if d.count() <= most_broadcast else d
-    out = docs.withColumn("__digest", _digest(text)).join(near(gone), [key, "__digest"], "left_anti")
+    again = stored(rows.where("not gone").groupBy(key, d).count().where("count > 1").drop("count"))
+    near = lambda f: F.broadcast(f) if f.count() <= most_broadcast else f
+    out = docs.withColumn(d, _digest(text)).join(near(gone), [key, d], "left_anti")
     if not again.isEmpty():
         again = near(again)
-        once = out.join(again, [key, "__digest"], "left_semi").dropDuplicates([key, "__digest"])
-        out = out.join(again, [key, "__digest"], "left_anti").unionByName(once)
-    return out.select(*docs.columns)
+        once = out.join(again, [key, d], "left_semi").dropDuplicates([key, d])
+        out = out.join(again, [key, d], "left_anti").unionByName(once)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ from itertools import islice
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from citemill.llm.common import arrow_map, bounded_batches, stored
+from citemill.llm.common import arrow_map, bounded_batches, give_back, stored
 
 
 # -- the cutting-stock problem (driver; its size is the histogram's) -------------
@@ -126,7 +126,7 @@ class Words:
     Added tokens in a text are text like any, or get their ids by ``special_as_text=False``.
     """
 
-    def __init__(self, path: str, most_held: int = 8 << 20, *, special_as_text: bool = True):
+    def __init__(self, path: str, most_held: int = 4 << 20, *, special_as_text: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -149,6 +149,9 @@ class Words:
         self.engine = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._core_bpe if self.fits else None
         self.held, self.size, self.most_held = {}, 0, most_held
 
+    def forget(self) -> None:
+        self.held, self.size = {}, 0
+
     def self_encoding(self) -> bool:
         """Whether each token is the encoding of its own characters, with the end of
         a word as one more character of the last."""
@@ -211,7 +214,11 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, *, key: str =
                     out[name].append(v)
         return out
 
-    return arrow_map(docs.select(F.col(key), F.col(text).cast("string").alias(text)), run, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    def done():
+        _words(path).forget()
+        give_back()
+
+    return arrow_map(docs.select(F.col(key), F.col(text).cast("string").alias(text)), run, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", done)
 
 
 # -- assignment -----------------------------------------------------------------

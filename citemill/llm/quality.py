@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citemill.llm.common import bounded_batches, stored
+from citemill.llm.common import bounded_batches, fresh, stored
 
 #: Byte classes: control, blank, line end, lower, upper, digit, stop, emphasis, bracket or quote, sign, bar, high.
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -107,25 +107,27 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     labels counts as good if half of them are; null labels and keys teach nothing; a site
     without labels has its host's or the global share; null or blank text scores 0; with
     no label at all every other score is 0.5; repeated rows give repeated rows; an
-    empty table gives an empty result; columns of ``docs`` stay.
+    empty table gives an empty result; very long texts are read whole; columns of ``docs`` stay, but for those
+    of the four names that are added.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__k")).agg((F.avg(label) >= 0.5).cast("int").alias("good"))
-    sample = marks.orderBy(F.xxhash64("__k"), "__k").limit(sample_rows)
+    k, good, h, p, hp, pp, h2, hh, e = fresh(docs, "__k", "__good", "__h", "__p", "__hp", "__pp", "__h2", "__hh", "evidence")
+    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias(k)).agg((F.avg(label) >= 0.5).cast("int").alias(good))
+    sample = marks.orderBy(F.xxhash64(k), k).limit(sample_rows)
 
     @F.pandas_udf("array<float>")
     def describe(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t or "") for t in texts])
 
     # the sample has at most sample_rows rows, so it may be sent to all
-    seen = docs.join(F.broadcast(sample), F.col(key) == F.col("__k")).select("good", describe(F.col(text).cast("string")).alias("x")).toArrow()
-    y = seen.column("good").to_numpy().astype(np.float64)
+    seen = docs.join(F.broadcast(sample), F.col(key) == F.col(k)).select(good, describe(F.col(text).cast("string")).alias("x")).toArrow()
+    y = seen.column(good).to_numpy().astype(np.float64)
     model = fit(seen.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(y), -1), y) if len(y) and 0 < y.mean() < 1 else None
-    sites = docs.select(F.col(key).alias("__k"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")).join(marks, "__k")
+    sites = docs.select(F.col(key).alias(k), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")).join(marks, k).select("host", "path", F.col(good).alias("good"))
     share, posteriors = site_posteriors(sites)
-    posteriors = stored(posteriors.withColumnsRenamed({"host": "__h", "path": "__p", "host_posterior": "__hp", "path_posterior": "__pp"}))
-    hosts = posteriors.groupBy("__h").agg(F.first("__hp").alias("__hh")).withColumnRenamed("__h", "__h2")
+    posteriors = stored(posteriors.withColumnsRenamed({"host": h, "path": p, "host_posterior": hp, "path_posterior": pp}))
+    hosts = posteriors.groupBy(h).agg(F.first(hp).alias(hh)).withColumnRenamed(h, h2)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -137,21 +139,34 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         return pd.Series(out)
 
     few = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df
-    out = docs.withColumn("evidence", evidence(F.col(text).cast("string")))
-    out = out.join(few(posteriors), F.col(host).cast("string").eqNullSafe(F.col("__h")) & F.col(path).cast("string").eqNullSafe(F.col("__p")), "left")
-    out = out.join(few(hosts), F.col(host).cast("string").eqNullSafe(F.col("__h2")), "left")
-    site = F.coalesce("__pp", "__hh", F.lit(float(share)))
-    odds = F.col("evidence") + F.log(site / (1 - site))
+    out = docs.withColumn(e, evidence(F.col(text).cast("string")))
+    out = out.join(few(posteriors), F.col(host).cast("string").eqNullSafe(F.col(h)) & F.col(path).cast("string").eqNullSafe(F.col(p)), "left")
+    out = out.join(few(hosts), F.col(host).cast("string").eqNullSafe(F.col(h2)), "left")
+    site = F.coalesce(F.col(pp), F.col(hh), F.lit(float(share)))
+    odds = F.col(e) + F.log(site / (1 - site))
     blank = F.trim(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+", " ")) == ""
-    return out.select(
-        *docs.columns,
-        "evidence",
-        F.coalesce("__hh", F.lit(float(share))).alias("host_posterior"),
-        site.alias("path_posterior"),
-        F.when(blank, 0.0).when(F.lit(model is None), 0.5).otherwise(1 / (1 + F.exp(-odds))).alias("quality_score"),
-    )
+    added = {
+        "evidence": F.col(e),
+        "host_posterior": F.coalesce(F.col(hh), F.lit(float(share))),
+        "path_posterior": site,
+        "quality_score": F.when(blank, 0.0).when(F.lit(model is None), 0.5).otherwise(1 / (1 + F.exp(-odds))),
+    }
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *[c.alias(name) for name, c in added.items()])
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how) -> DataFrame:
-    """Rows of ``docs`` whose quality score is ``least`` or more, columns as they are."""
-    return score(docs, labels, **how).where(F.col("quality_score") >= least).select(*docs.columns)
+    """Rows of ``docs`` whose quality score is ``least`` or more, columns as they are.
+
+    Null and blank texts go; without any label all others stay, as each then scores 0.5; a row without a key is judged by
+    its text and site; repeated rows are each judged; an empty table stays empty; columns may have any names.
+    """
+    (s,) = fresh(docs, "__score")
+    names = fresh(docs, *(f"__{i}" for i in range(len(docs.columns))))
+    # under names of their own, as the score's names may be taken
+    own = dict(zip(docs.columns, names))
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    columns = {"key": "doc_id", "text": "text", "host": "source", "path": "lang"} | {k: v for k, v in how.items() if k in ("key", "text", "host", "path")}
+    rest = {k: v for k, v in how.items() if k not in columns}
+    marks = labels.withColumnRenamed(columns["key"], own[columns["key"]])
+    kept = score(renamed, marks, **{k: own[c] for k, c in columns.items()}, **rest).withColumnRenamed("quality_score", s).where(F.col(s) >= least)
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])
