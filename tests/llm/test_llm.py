@@ -166,6 +166,34 @@ def test_fingerprints(spark, small, odd, none):
     assert (fingerprint.decode(alone.fingerprint) == fingerprint.digest(b"x" * 50_000)).all()
 
 
+def digest_by_counting(data):
+    """Triplets counted one by one; the digest's header and a quartile for each bucket."""
+    from math import log2
+
+    word, counts = 2**32, [0] * 256
+    for i in range(len(data) - 3):
+        w, *rest = data[i : i + 4]
+        for row, (p, q) in zip(fingerprint._MIX.tolist(), ((0, 1), (0, 2), (1, 2))):
+            h = ((w + 1) * row[0] ^ (rest[p] + 1) * row[1]) % word * 0x2C1B3C6D % word
+            h = ((h ^ (rest[q] + 1) * row[2]) % word) * 0x297A2D39 % word
+            counts[h >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[k * 64 - 1] for k in (1, 2, 3))
+    return [min(255, round(8 * log2(1 + len(data)))), 15 * q1 // q3 if q3 else 0, 15 * q2 // q3 if q3 else 0, *((c > q1) + (c > q2) + (c > q3) for c in counts)]
+
+
+def test_digests_against_counting():
+    rnd = random.Random(12)
+    texts = [bytes(rnd.choices(range(256), k=n)) for n in (4, 5, 40, 700, 3_000)] + [b"x" * 500, ("é漢 tide " * 60).encode()]
+    digests = [fingerprint.digest(t) for t in texts]
+    assert [d.tolist() for d in digests] == [digest_by_counting(t) for t in texts]
+    steps = {frozenset((0, 3)): 6, frozenset((0, 2)): 2, frozenset((1, 3)): 2}
+    for a in digests:
+        for b in digests:
+            want = sum(abs(int(x) - int(y)) for x, y in zip(a[:3], b[:3])) + sum(steps.get(frozenset((int(x), int(y))), abs(int(x) - int(y))) for x, y in zip(a[3:], b[3:]))
+            assert fingerprint.difference(a, b) == min(fingerprint.BOUND, want) and 0 <= fingerprint.likeness(a, b) <= 1
+    assert fingerprint.digest(b"abc").tolist() != fingerprint.digest(b"abd").tolist()
+
+
 # -- language -----------------------------------------------------------------------------
 def test_language(spark, small, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -181,6 +209,69 @@ def test_language(spark, small, odd, none):
     assert sorted(language_id.identify(same).collect()) == sorted(language_id.identify(docs).collect())
 
 
+def languages_by_counting(train, texts, floor=2.0):
+    """Word-first backoff, entry by entry: train (text, lang) -> for each text (lang, score)."""
+    from collections import Counter
+    from math import exp, log
+
+    langs = sorted({g for _, g in train}, key=lambda g: (-sum(h == g for _, h in train), g))
+    words, grams = {g: Counter() for g in langs}, [{g: Counter() for g in langs} for _ in range(5)]
+    for t, g in train:
+        words[g].update(language_id.WORD.findall(t.lower()))
+    for g in langs:
+        for w, c in words[g].items():
+            for n in range(1, 5):
+                for k in range(len(w) + 2 - n + 1):
+                    grams[n][g][f"<{w}>"[k : k + n]] += c
+
+    def scores(by, entry):
+        if not any(entry in by[g] for g in langs):
+            return None
+        totals = [max(1, sum(by[g].values())) for g in langs]
+        return [log(by[g][entry] / n) if by[g][entry] else -log(max(totals)) - floor for g, n in zip(langs, totals)]
+
+    def word_scores(w):
+        if (own := scores(words, w)) is not None:
+            return own
+        for n in (4, 3, 2, 1) if any(map(str.isalpha, w)) else ():
+            known = [x for k in range(len(w) + 2 - n + 1) if (x := scores(grams[n], f"<{w}>"[k : k + n])) is not None]
+            if known:
+                return [sum(col) / len(known) for col in zip(*known)]
+        return None
+
+    out = []
+    for t in texts:
+        ws = language_id.WORD.findall((t or "").lower())
+        known = [x for w in ws if (x := word_scores(w)) is not None]
+        if not any(c.isalpha() for w in ws for c in w):
+            out.append(("und", 0.0))
+        elif not known:
+            out.append((langs[0], 1 / len(langs)))
+        else:
+            total = [sum(col) * min(1, 50 / len(known)) for col in zip(*known)]
+            p = [exp(x - max(total)) for x in total]
+            out.append((langs[p.index(max(p))], max(p) / sum(p)))
+    return out
+
+
+def invented(rnd, seeds, n):
+    """Texts of made-up words, each language of its own syllables."""
+    return [(" ".join("".join(rnd.choices(seeds[g], k=rnd.randrange(1, 4))) for _ in range(rnd.randrange(1, 25))), g) for _ in range(n) for g in [rnd.choice(list(seeds))]]
+
+
+def test_language_against_counting(spark):
+    rnd = random.Random(9)
+    rows = invented(rnd, {"aa": ["ba", "lo", "mi", "tu"], "bb": ["ba", "kro", "mi", "zz"], "cc": ["ey", "lo", "ñu"]}, 120)
+    rows += [(None, "aa"), ("", "bb"), ("12 --", "cc"), ("qqq xxx", None), ("ba ba", "aa"), ("ba ba", "bb"), ("lo " * 5_000, "cc")]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string").withColumn("__p", F.lit("clash"))
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(len(rows))]
+    want = languages_by_counting([(t, g) for (t, g), h in zip(rows, held) if not h and t is not None and g is not None], [t for t, _ in rows])
+    got = sorted(language_id.identify(df).collect())
+    assert [r.lang_pred for r in got] == [g for g, _ in want] and [r.score for r in got] == pytest.approx([p for _, p in want], abs=1e-4)
+    kept = language_id.reject_unidentified(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, (g, p) in enumerate(want) if g != "und" and p >= 0.5]
+
+
 def test_backoff_takes_the_longest_known_grams():
     words, grams = language_id.Table(["the"], np.array([[0, -9]])), [language_id.Table(["<d"], np.array([[-9, 0]])), language_id.Table(["e"], np.array([[-1, -2]]))]
     m = language_id.Backoff(["a", "b"], words, language_id.joined(grams), 4)
@@ -505,6 +596,69 @@ def test_posteriors_shrink(spark):
     assert by["bad"].host_posterior < by["one"].host_posterior < m < by["big"].host_posterior < 0.8
 
 
+def quality_by_counting(docs, labels):
+    """Evidence and posteriors by loops over documents (id, text, host, path) and labels (id, 0 or 1) -> scores."""
+    from math import exp, log
+
+    marks = defaultdict(list)
+    for i, y in labels:
+        marks[i].append(y)
+    good = {i: int(np.mean(y) >= 0.5) for i, y in marks.items()}
+    seen = [(d, good[d[0]]) for d in docs if d[0] in good]
+    model = quality.fit(np.stack([quality.features(d[1] or "") for d, _ in seen]).astype(np.float64), np.array([y for _, y in seen], dtype=np.float64))
+
+    def counted(of):
+        by = defaultdict(lambda: [0, 0])
+        for d, y in seen:
+            by[of(d)][0] += 1
+            by[of(d)][1] += y
+        return by
+
+    def weight(groups, centre):
+        n, g, k = sum(x[0] for x in groups.values()), sum(x[1] for x in groups.values()), len(groups)
+        m = min(max(g / n, 1e-3), 1 - 1e-3)
+        spread = sum(a * (b / a - centre(site)) ** 2 for site, (a, b) in groups.items())
+        room = n - sum(a * a for a, _ in groups.values()) / n
+        between = max(0.0, (spread - (k - 1) * m * (1 - m)) / room) if room > 0 else 0.0
+        return m, min(10_000.0, max(1.0, m * (1 - m) / between - 1)) if between > 0 else 10_000.0
+
+    hosts, paths = counted(lambda d: d[2]), counted(lambda d: (d[2], d[3]))
+    share = sum(y for _, y in seen) / len(seen)
+    m, w = weight(hosts, lambda _: share)
+    host = {h: (b + m * w) / (a + w) for h, (a, b) in hosts.items()}
+    _, v = weight(paths, lambda s: host[s[0]])
+    path = {s: (b + host[s[0]] * v) / (a + v) for s, (a, b) in paths.items()}
+    out = []
+    for i, t, h, p in docs:
+        site = path.get((h, p), host.get(h, m))
+        odds = float(model.log_odds(quality.features(t or "").astype(np.float64)[None, :])[0]) + log(site / (1 - site))
+        out.append(0.0 if not (t or "").strip() else 1 / (1 + exp(-odds)))
+    return out
+
+
+def test_quality_against_counting(spark):
+    rnd = random.Random(11)
+    docs, labels = [], []
+    for i in range(240):
+        bad = rnd.random() < (0.7 if i % 5 == 0 else 0.2)
+        text = "".join(rnd.choice("xq!$#7 |") for _ in range(80)) if bad else " ".join(rnd.choice(["the", "tide", "rose", "slowly", "and", "fell."]) for _ in range(30))
+        docs.append((i, text, f"host{i % 5}" if i % 7 else None, f"p{i % 3}"))
+        if i % 2:
+            labels += [(i, int(not bad))] * (1 + i % 3)
+    docs += [(500, None, "host1", "p1"), (501, " \n", "host1", None), (502, "the tide rose", "elsewhere", "p1"), (1, docs[1][1], "host1", "p1"), (None, "the tide fell.", "host2", "p2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").withColumn("quality_score", F.lit("clash")).withColumn("__k", F.lit(1)).withColumn("__h", F.lit(2))
+    marks = spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, quality int")
+    want = quality_by_counting(docs, labels)
+    scored = quality.score(df.drop("quality_score"), marks)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    got = sorted([(r.doc_id, r.text, r.quality_score) for r in scored.collect()], key=key)
+    assert [r[2] for r in got] == pytest.approx([w for _, w in sorted(zip(docs, want), key=lambda x: key(x[0]))], abs=1e-6)
+    kept = quality.reject_poor(df, marks)
+    assert kept.columns == df.columns and {r.quality_score for r in kept.collect()} == {"clash"}
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=key) == sorted([d[:2] for d, w in zip(docs, want) if w >= 0.5], key=key)
+    assert quality.reject_poor(df, marks.where("doc_id < 0")).count() == len(docs) - 2 and quality.reject_poor(df.where("doc_id < 0"), marks).count() == 0
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (3, 0), (5, 1), (5, 1), (5, None), (None, 1), (99, 0)], "doc_id long, quality int")
     got = quality.score(odd, labels)
@@ -538,7 +692,7 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(empty).count() == 0
 
 
-# -- pipeline ----------------------------------------------------------------------------------
+# -- pipeline ---------------------------------------------------------------------------------
 def test_pipeline_against_its_stages(spark, small):
     import corpus_pipeline
 
@@ -559,5 +713,26 @@ def test_pipeline_against_its_stages(spark, small):
     check_packed(rows, [(r.doc_id, r.text) for r in kept.collect()], 4096)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, an empty table, columns of any name."""
+    import corpus_pipeline
+
+    labels = [(1, 1, 0), (2, 0, 0), (3, 1, 0), (None, None, None), (3, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    good = "the tide rose slowly and the boats turned on their ropes before evening came to the harbour"
+    docs = [(1, good, "en", "a", 1), (1, good, "en", "a", 1), (2, "$$ ## !!", "en", "a", 2), (3, good + " again", "en", None, None), (4, None, None, None, None), (5, "", "en", "a", 0), (None, good, "en", "a", 3), (6, "tide " * 30_000, "en", "b", 4), (7, "…", None, None, 5)]
+    df = spark.createDataFrame(docs, DOCS).selectExpr("*", "'x' AS __p", "'x' AS __k", "'x' AS __digest", "'x' AS __score", "1 AS component_id", "'x' AS `a.b`")
+    for table_ in (df, df.where("doc_id < 0")):
+        kept = table_
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            before, kept = kept, stage(spark, kept, f"file://{tmp_path}")
+            assert kept.columns == df.columns, name
+            kept = spark.createDataFrame(kept.collect(), df.schema)
+            assert kept.count() <= before.count()
+        rows = corpus_pipeline.STAGES[-1][1](spark, kept, f"file://{tmp_path}").collect()
+        check_packed(rows, [(r.doc_id, r.text) for r in kept.collect()], 4096)
+    assert {r.doc_id for r in rows} == set()
+
+
 def test_every_operator_has_a_query():
     assert [sum(name.startswith(f"op{n}_") for name in queries.queries()) for n in range(1, 11)] == [1] * 10
