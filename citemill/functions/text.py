@@ -39,10 +39,6 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
-def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
-
-
 def normal_title(c: Column) -> Column:
     """Lower case; whatever isn't a-z or 0-9 becomes one blank; stripped."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

@@ -157,7 +157,7 @@ def content_scores(original: DataFrame, printed: DataFrame, similarity, least: f
     return both.select("doc_id", "n", F.coalesce(F.col("gd") == F.col("rd"), F.lit(False)).alias("doi_match"), (titled & (similarity(F.col("g"), F.col("r")) >= least)).alias("title_match"))
 
 
-#: Defects that a list or an entry may have: name, stage it strikes, how it is made here.
+#: Names of defects that a list or an entry may have, the stage each strikes; and how it is made here.
 DEFECTS = (
     ("merged_entries", "split", "merged_entries"),
     ("mixed_numbering_styles", "split", "mixed_numbering"),

@@ -10,11 +10,13 @@ from citemill.functions import names as nm
 from citemill.functions import text as tx
 from citemill.operators import aggregate as agg
 from citemill.operators import audit as au
+from citemill.operators import check as ck
 from citemill.operators import detect as dt
 from citemill.operators import lines as ln
 from citemill.operators import matching as mt
 from citemill.operators import normalize as no
 from citemill.operators import split as sp
+from citemill.operators import tiers as ti
 from citemill.operators import verify as vf
 from citemill.sources import files, tei
 from citemill.streaming import reviews
@@ -41,6 +43,31 @@ def one(spark, expr):
         ("of van der Berg et al. (1999) we", [("van der Berg et al.", "1999", None)]),
         ("the range (2001-2005) of", []),
         ("", []),
+        # what stands before decides
+        ("as Eq. [3] shows", []),
+        ("a scale\n from [1, 7] was", []),
+        ("ranging over quite a lot of all the [2, 5]", [(None, None, 2), (None, None, 5)]),
+        ("differences between [3] and [4]", [(None, None, 3), (None, None, 4)]),
+        ("A note ends.\n[2] Quill argues", []),
+        ("as shown in\n[2], the tide", [(None, None, 2)]),
+        ("[2]Quill", [(None, None, 2)]),
+        ("m²[4] is", []),
+        ("Der Beitrag von Quill (2020) ist", [("von Quill", "2020", None)]),
+        ("ranging over [2, 5]", []),
+        ("Diese sehr alte Welle (2020) ist", []),
+        ("Recent Work Quill (2020) is", [("Quill", "2020", None)]),
+        ("However, Quill (2020) is", [("Quill", "2020", None)]),
+        ("J. P. Quill, Brack, & Moe u. a. (2019, 2020b) sind", [("J. P. Quill, Brack, & Moe u. a.", "2019", None), ("J. P. Quill, Brack, & Moe u. a.", "2020b", None)]),
+        ("Quill (1939-1945) was", []),
+        ("Quill (2001, 2005-2009) was", [("Quill", "2001", None)]),
+        # what stands inside decides
+        ("(Quill, 2020, pp. 1990-1995)", [("Quill", "2020", None)]),
+        ("(S. Quill, 2020; vgl. auch Moe, o. J.)", [("S. Quill", "2020", None), ("Moe", "o. J.", None)]),
+        ("(Oktober 2021; Figure 2020; 2020)", []),
+        ("(M = 3, Quill, 2020)", []),
+        ("[12, p. 5] and [1; 2–3]", [(None, None, 12), (None, None, 1), (None, None, 2), (None, None, 3)]),
+        ("[0, 3] [3-50] [1,,2] [2020]", []),
+        ("(t(28), Quill, 2020)", []),
     ],
 )
 def test_detection(text, found):
@@ -64,6 +91,24 @@ def test_known_markers_are_parsed_without_context():
     assert [m[6] for m in dt.parse_marker("[2, 4]")] == [2, 4]
     assert [(m[4], m[5], m[7]) for m in dt.parse_marker("Quill (2011)")] == [("Quill", "2011", True)]
     assert [(m[4], m[5]) for m in dt.parse_marker("Quill, 2011")] == [("Quill", "2011")]
+    assert [m[6] for m in dt.parse_marker(" [12, p. 5] ")] == [12] and [m[6] for m in dt.parse_marker("3")] == [3]
+    assert dt.parse_marker("May (2010)") == dt.parse_marker("[9-3]") == dt.parse_marker("so Quill (2011)") == dt.parse_marker(" ") == []
+    assert [(m[4], m[5]) for m in dt.parse_marker("(see Quill & Moe, 2011a; Zed, n.d.)")] == [("Quill & Moe", "2011a"), ("Zed", "n.d.")]
+
+
+def test_round_numbers_at_the_end_of_a_line():
+    numbers = lambda t: [m[6] for m in dt.detect(t, "numbered")]
+    assert numbers("the effect was shown many years ago (3)\nand it") == [3]
+    assert numbers("y = a x + b + c + d (3)\n") == numbers("(3)\n") == numbers("there are three: (1) a") == []
+    assert numbers("the effect was shown (3).") == [3]
+
+
+def test_families_follow_the_list(spark):
+    lists = [("[1] a\n[2] b", "numbered"), ("1. a\n2) b", "numbered"), ("A, B. (2001). x\nC, D. (2002). y", "author-date"), ("Quill, A., 2001. X.\nMoe, B., 2002a. Y.", "author-date"), ("Quill AB. X\nvan Moe C. Y", "author-date"), ("[1] A (2001).\n[2] B (2002).\n[3] C", "author-date,numbered"), ("[1] a\nA (2001).", "author-date,numbered"), ("", "author-date,numbered"), (None, "author-date,numbered")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lists)], "doc_id long, text string")
+    assert [r.families for r in ln.expected_families(ln.style_profile(df)).orderBy("doc_id").collect()] == [f for _, f in lists]
+    one = ln.style_profile(spark.createDataFrame([(1, 'Moe, L., "Of tides," J 12, 1999;3.\n\nQuill, A., 2001. X (2. Aufl.). Abgerufen am 1. Mai von z. (2003)')], "doc_id long, text string")).first()
+    assert (one.lines, one.quoted_titles, one.comma_years, one.paren_years, one.bare_years, one.german_signs, one.bare_year_density) == (2, 1, 1, 1, 1, 2, 0.5)
 
 
 # -- splitting -----------------------------------------------------------------------
@@ -75,6 +120,22 @@ def test_split_gates():
     assert sp.split_block("First block\nhere 2001.\n\nSecond block 2002.") == ["First block here 2001.", "Second block 2002."]
     assert sp.split_block("just one text") == ["just one text"]
     assert sp.split_block(" \n ") == []
+    # a stray number is passed over, a run that doesn't start at 1 must have words
+    assert sp.split_block("1. Aa bb\n246.\n2. Cc dd") == ["Aa bb\n246.", "Cc dd"]
+    assert sp.split_block("7. Aa bbb\n8. Cc ddd\n9. Ee fff") == ["Aa bbb", "Cc ddd", "Ee fff"]
+    assert sp.split_block("246.\n247.") == ["246.\n247."]
+    # a wrapped author list opens no entry, and what precedes the first start is lost
+    assert sp.split_block("Lead.\nQuill, T., Moe, L., and\nBrack, U. (2011). One.\nZed, Q. (2012). Two.") == ["Quill, T., Moe, L., and\nBrack, U. (2011). One.", "Zed, Q. (2012). Two."]
+    # editors and places open none inside a line
+    assert len(sp.split_block("Quill, T. (2011). A. In Moe, L., & Zed, Q. (Eds.), B. Hillsdale, N.J.: C. Brack, U. (2012). D.")) == 2
+    # three years in one entry license numbers, two in parentheses authors
+    assert sp.flattened(["A (2001). B (2002)."]) == {"paren_years"} and sp.flattened(["A 2001. B 2002. C (2003)."]) == {"bare_years"}
+    assert sp.flattened(["1. Aa. 2. Bb. 3. Cc."]) == {"inline_number_run"}
+
+
+def test_printed_reading():
+    assert ck.printed_reading("[1] Aa bb\n[3] stray\n[2] Cc") == [(1, " Aa bb\n[3] stray\n"), (2, " Cc")]
+    assert [n for n, _ in ck.printed_reading("1. Aa bb")] == [None] and ck.printed_reading("") == []
 
 
 def test_titles_are_never_guessed():
@@ -83,6 +144,10 @@ def test_titles_are_never_guessed():
     assert sp.title_of('Moe, L., "A quoted title here," J., 1999.') == "A quoted title here"
     assert sp.title_of("Author, A., 2020. Title here. J 1.") == "Title here"
     assert sp.title_of("nothing to see") is None
+    assert sp.title_of("Quill, T. (2011). Sorting tides.") == "Sorting tides."
+    assert sp.title_of('Quill, T. (2011). Tides, "a quoted part" of them. J.') == 'Tides, "a quoted part" of them'
+    assert sp.title_of("Doll R, van Hill AB, et al. Smoking. BMJ.") == "Smoking"
+    assert sp.title_of("Quill AB., 2020. Of tides. J.") == "Of tides" and sp.title_of("A title first. It goes on here, 2020. So. J.") is None
 
 
 # -- names ------------------------------------------------------------------------------
@@ -96,6 +161,11 @@ def test_names():
     keys = nm.inherited([nm.reference_key("Moe, L. 1999. A first title."), nm.reference_key("———. 2001. A second title.")])
     assert keys[1]["surname"] == "Moe"
     assert nm.title_similarity("Sorting tides", "Sorting tides, again") == 1.0
+    assert nm.marker_surnames("J. van der Berg, Quill und Moe u. a.") == ["van der Berg", "Quill", "Moe"] and nm.marker_surnames(None) == []
+    assert nm.surnames("WU, Q., & Ng K") == ["WU", "Ng"] and nm.strip_initials("a title of many words") == ""
+    assert nm.regions("[1] Quill, T. 1999 A. (2011). X") == ("[1] Quill, T. 1999 A. (2011", "[1] Quill, T. 1999 A. ")
+    assert nm.entry_years("Q (1990-1995) 2003", "Q (1990-1995) 2003") == (["2003"], True)
+    assert nm.opens_with_rule("[3] ———. 2001") and nm.opens_with_rule(". 2001") and not nm.opens_with_rule('"Title" 2001')
 
 
 def test_text_expressions(spark):
@@ -151,6 +221,8 @@ def test_normalization_chain():
     merged = lines[2]
     assert no.origin_at(merged, 0) == 2 and no.origin_at(merged, merged.text.index("long")) == 6
     assert no.normalize("") == []
+    assert [x.text for x in no.normalize("- [1] Quill, T. A long-\n\n- term view (2011).\n\n- Moe, L. 34(2), 1-22\n\n- *\n\nHead 3\n\n[4] ISO 1.\n\nHead 12\n\n[4] ISO 1.\n\n**bold**\n\n-5 is")] == ["[1] Quill, T. A long-", "", "term view (2011).", "", "Moe, L. 34(2), 1-22", "", "[4] ISO 1.", "", "[4] ISO 1.", "", "bold -5 is"]
+    assert [x.text for x in no.normalize("- [1] Quill, T. A long-\n\n- term view")] == ["[1] Quill, T. A long- term view"]
     a, b = no.sentence_bounds("One is here. As Smith et al. say, it is so. Last one.", 20, 25)
     assert "One is here. As Smith et al. say, it is so. Last one."[a:b].strip() == "As Smith et al. say, it is so."
 
@@ -167,6 +239,9 @@ def test_bibliography_without_heading_has_no_bounds(spark):
     docs = spark.createDataFrame([(1, "a\nReferences:\nx.\nAppendix A. More\ny"), (2, "a\nb")], "doc_id long, text string")
     assert [tuple(r) for r in ln.bibliography_bounds(ln.lines_of(docs)).collect()] == [(1, 2, 3)]
     assert ln.body(ln.lines_of(docs)).where("doc_id = 1").count() == 3
+    stops = {"Appendix B": True, "Appendix: Tables and more": True, "Appendix to the hearings, volume 2": False, "Received signal strength": False, "Manuscript received 3 May 2020.": True, "Received: 2019. Later": False, "Danksagung:": True, "Appendices A1 Of things.": True}
+    rows = spark.createDataFrame([(i, f"References\nA.\n{t}") for i, t in enumerate(stops)], "doc_id long, text string")
+    assert [r["last"] == 2 for r in ln.bibliography_bounds(ln.lines_of(rows)).orderBy("doc_id").collect()] == list(stops.values())
 
 
 # -- verification ---------------------------------------------------------------------------
@@ -199,6 +274,17 @@ def test_tei(spark):
     assert [(r.marker_text, r.target, r.reference_n, r.paragraph_text[r.start : r.stop]) for r in got] == [("(Quill, 2011)", "b0", 1, "(Quill, 2011)"), ("[2]", None, None, "[2]")]
 
 
+def test_passages_hold_nested_markers():
+    import xml.etree.ElementTree as ET
+
+    ref = lambda t, target="": f'<ref type="bibr"{target}>{t}</ref>'
+    text = f"""<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><div>{ref("[1]")} opens <p>Held  in
+  <hi>marks {ref(" [2] ", ' target="#b1"')}</hi>, and {ref(" ")}on. </p></div><figure><figDesc>See {ref("[3]")}</figDesc></figure>
+  <p>none</p><listBibl><p>{ref("[4]")}</p></listBibl></text></TEI>"""
+    got = [(c["marker_text"], c["target"], c["paragraph_text"], c["start"]) for c in tei.contexts(ET.fromstring(text))]
+    assert got == [("[1]", None, "[1] opens Held in marks [2] , and on.", 0), ("[2]", "b1", "[1] opens Held in marks [2] , and on.", 24), ("[3]", None, "See [3]", 4)]
+
+
 def test_report_escapes(spark, tmp_path):
     df = spark.createDataFrame([("<script>", None)], "a string, b string")
     page = files.report("x & y", {"t<": df, "left out": df}, {"left out": False})
@@ -209,6 +295,34 @@ def test_report_escapes(spark, tmp_path):
     assert files.read_texts(spark, str(tmp_path)).first().text == "one\ntwo"
 
 
+def test_corpora_paths_and_records(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "apa.json").write_text('{"style": "apa", "cases": [{"id": "one", "text": "a"},\n {"id": "two", "text": "b"}]}')
+    assert sorted((r.style, r.id, r.text) for r in files.read_corpus(spark, str(tmp_path / "c")).collect()) == [("apa", "one", "a"), ("apa", "two", "b")]
+    files.write_bibtex(spark.createDataFrame([("k", "@article{k,\n}")], "key string, record string"), str(tmp_path / "b"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "b")).collect()) == ["@article{k,", "}"]
+    assert ti.report_path_error(str(tmp_path / "r.HTML")) is None
+    assert [ti.report_path_error(x) for x in ("r.html", str(tmp_path / "r.txt"), "/no/such/r.html")] == ["not absolute", "not an HTML file", "no such folder"]
+    assert [ti.engine(p, r) for p, r in (("auto", True), ("auto", False), ("text", True))] == ["tier1", "tier0", "tier0"]
+
+
+def test_a_parse_without_references_gives_no_citations(spark):
+    contexts = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, seq long")
+    assert [r.doc_id for r in ti.contexts_in_use(contexts, spark.createDataFrame([(2, 1), (2, 2)], "doc_id long, n long")).collect()] == [2]
+
+
+def test_a_whole_check(spark):
+    list_ = "Quill, T. (2011). Sorting tides. Shore Letters. doi:10.1/tides\n\nBrack, U. (2012). Undated things. Harbour Press, 12.\n\nZed, Q. (2013). Nothing at all. Nowhere."
+    docs = spark.createDataFrame([(1, f"# On tides\n\nAs Quill (2011) says, it holds (Brack, 2012; Moe, 1999).\n\n## References\n\n{list_}\n\nAcknowledgements\n\nThanks (Quill, 2011)."), (2, "No list (Quill, 2011)."), (3, None)], "doc_id long, text string")
+    works = spark.createDataFrame([("10.1/TIDES", "Sorting tides", "Shore", 3, False, 2011), ("10.2/u", "Undated things", "Harbour", None, None, 2012)], "doi string, title string, outlet string, citations long, retracted boolean, year long")
+    got = {r.doc_id: r for r in ck.full_check(docs, works).collect()}
+    one = got[1]
+    assert (one.references, one.verified, one.halluc, one.resolved, one.orphaned, one.found) == (3, 2, 1, 3, 1, "bibliography")
+    assert [(got[i].references, got[i].found) for i in (2, 3)] == [(0, "no bibliography")] * 2
+    x = ck.extract(docs)
+    assert [(r.seq, r.status, r.reference_n) for r in ck.match_citations(x).orderBy("seq").collect() if r.doc_id == 1] == [(1, "resolved", 1), (2, "resolved", 2), (3, "orphaned", None), (4, "resolved", 1)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [Row(doc_id=1, n=1, at=1, action="confirm"), Row(doc_id=1, n=1, at=2, action="reopen"), Row(doc_id=1, n=2, at=1, action="reject")]
     df = spark.createDataFrame(rows, "doc_id long, n long, at long, action string")
