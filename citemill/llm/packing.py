@@ -126,7 +126,7 @@ class Words:
     Added tokens in a text are text like any, or get their ids by ``special_as_text=False``.
     """
 
-    def __init__(self, path: str, most_held: int = 4 << 20, *, special_as_text: bool = True):
+    def __init__(self, path: str, most_held: int = 10 << 20, *, special_as_text: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
