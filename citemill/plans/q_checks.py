@@ -173,7 +173,7 @@ def _(t):
     """Headers put into manuscripts go again, and what is left are the manuscripts' own lines."""
     from citemill.plans.q_text import script
 
-    return ln.repeated_lines(sy.running_headers(ln.lines_of(script(t)).select("doc_id", "line_no", "text"), "TIDES AND SANDS", 4)).where("canonical = 'tides and sands'").groupBy("doc_id").agg(F.count("*").alias("headers"))
+    return ln.repeated_lines(sy.running_headers(ln.lines_of(script(t)).select("doc_id", "line_no", "text"), "Harbour manuscript", 4)).where("canonical = 'harbour manuscript'").groupBy("doc_id").agg(F.count("*").alias("headers"))
 
 
 @query("syn_entry_defects", "works", sql="""SELECT work_id, CASE WHEN work_id % 2 = 0 THEN 'Moe;' || surname ELSE surname END AS authors, surname || ', A.' AS author, CAST(NULL AS BIGINT) AS volume, strip_accents('Ëvá ' || surname) AS bare FROM works""")
