@@ -346,12 +346,11 @@ def asked(t):
     return r.select("doc_id", "n", title.alias("title"), F.when(k == 0, F.col("doi")).when(k == 1, "10.1/none").alias("doi"))
 
 
-SEARCH = f"""{ASKED}, qt AS (SELECT doc_id, n, {TOK('title')} AS ts FROM q), wt AS (SELECT doi, {TOK('title')} AS ts FROM works),
- pw AS (SELECT doi, ts, unnest(ts) AS t FROM wt), df AS (SELECT t, count(*) AS df FROM pw GROUP BY t),
- pq AS (SELECT doc_id, n, ts, pq0.t, df FROM (SELECT doc_id, n, ts, unnest(ts) AS t FROM qt) pq0 JOIN df ON pq0.t = df.t),
- use AS (SELECT * FROM pq QUALIFY df <= 200 OR df = min(df) OVER (PARTITION BY doc_id, n)),
- pr AS (SELECT DISTINCT u.doc_id, u.n, u.ts AS a, w.doi, w.ts AS b FROM use u JOIN pw w ON u.t = w.t),
- hits AS (SELECT doc_id, n, doi, row_number() OVER (PARTITION BY doc_id, n ORDER BY len(list_intersect(a, b)) DESC, doi) AS rank, len(list_intersect(a, b)) / least(len(a), len(b)) AS score FROM pr QUALIFY rank <= 3)"""
+# every work that shares a token, the most shared first
+SEARCH = f"""{ASKED}, dt AS (SELECT DISTINCT title, {TOK('title')} AS ts FROM q), wt AS (SELECT doi, {TOK('title')} AS ts FROM works),
+ shared AS (SELECT d.title, w.doi, any_value(d.k) AS a, any_value(w.k) AS b, count(*) AS s FROM (SELECT title, len(ts) AS k, unnest(ts) AS t FROM dt) d JOIN (SELECT doi, len(ts) AS k, unnest(ts) AS t FROM wt) w ON d.t = w.t GROUP BY 1, 2),
+ best AS (SELECT title, doi, row_number() OVER (PARTITION BY title ORDER BY s DESC, doi) AS rank, s / least(a, b) AS score FROM shared QUALIFY rank <= 3),
+ hits AS (SELECT q.doc_id, q.n, b.doi, b.rank, b.score FROM q JOIN best b ON b.title = q.title)"""
 
 
 @query("src_title_search", "refs", "works", sql=f"WITH {SEARCH} SELECT doc_id, n, rank, doi, round(score, 6) AS score FROM hits")
