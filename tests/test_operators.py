@@ -347,6 +347,13 @@ def test_manuscripts_are_read_once(spark):
     assert seen.value == len(MANUSCRIPTS)
 
 
+def test_matching_reads_manuscripts_once(spark):
+    docs, seen = counted(spark, spark.createDataFrame(MANUSCRIPTS, "doc_id long, text string"))
+    got = ck.match_citations(ck.extract(docs)).orderBy("doc_id", "seq").collect()
+    assert [(r.doc_id, r.seq, r.status, r.reference_n) for r in got] == [(1, 1, "resolved", 1), (1, 2, "resolved", 2), (4, 1, "resolved", 1)]
+    assert seen.value == len(MANUSCRIPTS)
+
+
 def test_parts_are_bibliography_and_body(spark):
     rows = ln.lines_of(spark.createDataFrame(MANUSCRIPTS, "doc_id long, text string")).select("doc_id", "line_no", "text")
     parts = ln.parted(rows)
