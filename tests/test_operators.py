@@ -354,6 +354,15 @@ def test_matching_reads_manuscripts_once(spark):
     assert seen.value == len(MANUSCRIPTS)
 
 
+def test_entries_are_looked_up_in_one_reading(spark):
+    rows = [(1, 1, "Quill T. Sorting tides. Shore. 2011. doi:10.1234/tides", None, None), (1, 2, "Brack, U. (2012). Undated things. Harbour.", None, None), (1, 3, "rebuilt", "Other", "10.1234/tides"), (2, 1, None, None, None)]
+    entries, seen = counted(spark, spark.createDataFrame(rows, "doc_id long, n long, raw_text string, title string, doi string"))
+    works = spark.createDataFrame([("10.1234/TIDES", "Sorting tides", "Shore", 3, False, 2011), ("10.2/u", "Undated things", "Harbour", None, None, 2012)], "doi string, title string, outlet string, citations long, retracted boolean, year long")
+    got = ck.looked_up(entries, works).orderBy("doc_id", "n").collect()
+    assert [(r.doc_id, r.n, r.status, r.raw) for r in got] == [(1, 1, "verified", rows[0][2]), (1, 2, "verified", rows[1][2]), (1, 3, "review", "rebuilt"), (2, 1, "halluc", None)]
+    assert seen.value == len(rows)
+
+
 def test_parts_are_bibliography_and_body(spark):
     rows = ln.lines_of(spark.createDataFrame(MANUSCRIPTS, "doc_id long, text string")).select("doc_id", "line_no", "text")
     parts = ln.parted(rows)
