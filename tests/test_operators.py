@@ -363,6 +363,14 @@ def test_entries_are_looked_up_in_one_reading(spark):
     assert seen.value == len(rows)
 
 
+def test_every_entry_of_a_long_list_is_looked_up(spark):
+    titles = [f"Tides of shore w{i}" for i in range(1, 1_203)]
+    entries = spark.createDataFrame([(1, n, f"Quill T. {t}. Shore. 2011.", None, None) for n, t in enumerate(titles, start=1)], "doc_id long, n long, raw_text string, title string, doi string")
+    works = spark.createDataFrame([(f"10.1/{n}", t, "Shore", None, None, 2011) for n, t in enumerate(titles, start=1)], "doi string, title string, outlet string, citations long, retracted boolean, year long")
+    got = ck.looked_up(entries, works).orderBy("n").collect()
+    assert [(r.n, r.status, r.doi) for r in got] == [(n, "verified", f"10.1/{n}") for n in range(1, len(titles) + 1)]
+
+
 def test_parts_are_bibliography_and_body(spark):
     rows = ln.lines_of(spark.createDataFrame(MANUSCRIPTS, "doc_id long, text string")).select("doc_id", "line_no", "text")
     parts = ln.parted(rows)
