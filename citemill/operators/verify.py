@@ -103,19 +103,38 @@ def verify(entries: DataFrame, works: DataFrame, *, searched: DataFrame | None =
     0.84; a title match of 0.85 or more is verified at its score; without a candidate the
     score is 0.  ``failed`` marks entries whose look-up didn't answer.
     """
-    e = entries.withColumn("__doi", F.lower("doi"))
-    w = works.select(F.lower("doi").alias("__doi"), F.col("doi").alias("found_doi"), F.col("title").alias("found_title"), "outlet", "citations", "retracted", F.col("year").alias("found_year"))
+    e, w = entries.withColumn("__doi", F.lower("doi")), catalogued(works)
     direct = e.join(w, "__doi", "left")
-    known = direct.where("found_doi is not null").withColumn("ok", plausible(F.col("title"), F.col("found_title")))
-    by_doi = known.select("doc_id", "n", F.col("ok").alias("matched"), F.when(F.col("ok"), 1.0).otherwise(IMPLAUSIBLE).alias("confidence"), "found_doi", "found_title", "found_year", "outlet", "citations", "retracted")
     rest = direct.where("found_doi is null").select("doc_id", "n", "title")
     hits = searched if searched is not None else search(rest, works)
+    return classified(by_doi(direct.where("found_doi is not null")).unionByName(by_title(rest, hits, w)), failed)
+
+
+FOUND = ("found_doi", "found_title", "found_year", "outlet", "citations", "retracted")
+
+
+def catalogued(works: DataFrame) -> DataFrame:
+    """Works by their DOI in lower case."""
+    return works.select(F.lower("doi").alias("__doi"), F.col("doi").alias("found_doi"), F.col("title").alias("found_title"), "outlet", "citations", "retracted", F.col("year").alias("found_year"))
+
+
+def by_doi(known: DataFrame, *more: str) -> DataFrame:
+    """Entries beside the work of their DOI: whether its title is plausible; ``more`` columns of theirs stay."""
+    same = F.coalesce(F.col("title") == F.col("found_title"), F.lit(False))
+    ok = known.withColumn("ok", same | plausible(F.col("title"), F.col("found_title")))
+    return ok.select("doc_id", "n", *more, F.col("ok").alias("matched"), F.when(F.col("ok"), 1.0).otherwise(IMPLAUSIBLE).alias("confidence"), *FOUND)
+
+
+def by_title(rest: DataFrame, hits: DataFrame, catalogue: DataFrame, *more: str) -> DataFrame:
+    """Entries with the first hit of their title search; ``more`` columns of theirs stay."""
     top = hits.where("rank = 1").select("doc_id", "n", F.lower("doi").alias("__doi"), "score")
-    by_title = rest.join(top, ["doc_id", "n"], "left").join(w, "__doi", "left")
-    by_title = by_title.select("doc_id", "n", F.coalesce(F.col("score") >= MATCH, F.lit(False)).alias("matched"), F.coalesce("score", F.lit(0.0)).alias("confidence"), "found_doi", "found_title", "found_year", "outlet", "citations", "retracted")
-    out = by_doi.unionByName(by_title)
+    found = rest.select("doc_id", "n", *more).join(top, ["doc_id", "n"], "left").join(catalogue, "__doi", "left")
+    return found.select("doc_id", "n", *more, F.coalesce(F.col("score") >= MATCH, F.lit(False)).alias("matched"), F.coalesce("score", F.lit(0.0)).alias("confidence"), *FOUND)
+
+
+def classified(found: DataFrame, failed=None) -> DataFrame:
     error = F.when(failed, "lookup failed") if failed is not None else F.lit(None).cast("string")
-    return out.withColumn("error", error).withColumn("status", status(F.col("error"), F.col("matched"), F.col("confidence"))).withColumn("doi_label", doi_label(F.col("error"), F.col("matched"), F.col("found_doi")))
+    return found.withColumn("error", error).withColumn("status", status(F.col("error"), F.col("matched"), F.col("confidence"))).withColumn("doi_label", doi_label(F.col("error"), F.col("matched"), F.col("found_doi")))
 
 
 def abstract_of(index):

@@ -15,6 +15,7 @@ from citemill.operators import detect as dt
 from citemill.operators import lines as ln
 from citemill.operators import matching as mt
 from citemill.operators import normalize as no
+from citemill.operators import reading as rd
 from citemill.operators import split as sp
 from citemill.operators import tiers as ti
 from citemill.operators import verify as vf
@@ -354,6 +355,64 @@ def test_matching_reads_manuscripts_once(spark):
     assert seen.value == len(MANUSCRIPTS)
 
 
+def test_matching_shuffles_nothing(spark):
+    docs = spark.createDataFrame(MANUSCRIPTS, "doc_id long, text string")
+    x = ck.extract(docs)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (ck.match_citations(x), x.owners, x.families)]
+    assert not [p for p in plans if "Exchange" in p]
+
+
+ENDS = ["Appendix", " Danksagung :", "Appendix A. More", "Appendix A. More. And more", "appendix Aé", "Appendix A\u200c x", "appendices: all tests", ": Appendix. ok", "Appendix ABCDE x", "Appendix B1: Tables", "Author note:", "Manuscript received 3 May 2010", "manuscript\u2003Received: 4. 5. 2011.", "receivedé 2010", "Received May 2012 and so much more than that", "Received " + "May " * 20 + "2012", "Appendix " + "long " * 14, "References"]
+
+
+def test_rows_of_documents_are_parted_as_lines_are(spark):
+    texts = [f"Body.\n{head}\n{above}\n{end}\nAfter." for head in ("References", "LITERATUR ::", "\u2003Works cited:", "None") for above in ("Quill, T. (2011). Tides", "Tides. doi:10.1/x", "Tides.”)\u2003", "", " \n") for end in ENDS]
+    texts += ["References", "References\n", "\n\nReferences\n\n", "a\nReferences\nb\nreferences\nAppendix\nReferences\nc"]
+    lines = ln.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "line_no", "text").collect()
+    expected = {r.doc_id: (r.bibliography, r.body) for r in ln.parted(spark.createDataFrame(lines, "doc_id long, line_no int, text string")).collect()}
+    by = {k: [r.text for r in sorted(lines, key=lambda r: r.line_no) if r.doc_id == k] for k in range(len(texts))}
+    assert {k: rd.parts(by[k]) for k in expected} == expected
+    assert len(expected) == len(texts) and len({b for b, _ in expected.values()}) > 20
+
+
+LISTS = ["", "x", "[1] A\n[2] B", "1. A\n2) B", "[1] A\n2. B", " [1]\n\t[2]", "[1]a\n[2]b", "Moe AB. X\nvan Quill C, Y", "and Moe AB\n& Moe A", "de la Moe ABCDE\nX_'-y ABCD", "(2011)\n(2012a)", "1(2011) (2012ab)", "Moe, 2011. A\nB., 2012a. C", "Quill, T. (2011). [1]\nMoe, A. (2012). [2]", "[1] Moe (2011)\n[2] Moe (2012)", "éa Moe AB\nÉa AB", "٣. A\n[٣] B"]
+
+
+def test_rows_of_documents_support_the_families_of_profiles(spark):
+    bibs = spark.createDataFrame(list(enumerate(LISTS)), "doc_id long, text string")
+    expected = {r.doc_id: r.families for r in ln.expected_families(ln.style_profile(bibs)).collect()}
+    assert {i: f for i, t in enumerate(LISTS) if (f := rd.families(t)) is not None} == {i: f for i, f in expected.items() if LISTS[i].isascii()}
+    docs = spark.createDataFrame([(i, f"Body [1].\nReferences\nz\n{t}") for i, t in enumerate(LISTS)], "doc_id long, text string")
+    x = ck.extract(docs)
+    assert sorted(map(tuple, x.families.collect())) == sorted(map(tuple, ln.expected_families(ln.style_profile(x.bibliographies)).collect()))
+    assert len(set(expected.values())) == 3
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_of_documents_match_as_tables_do(spark, seed):
+    rnd = random.Random(seed)
+    words, surnames = "tide tides shore ab cd notes 2011 w7 harbour boats".split(), ["Quill", "Quil", "Moe", "moe", "Müller", "Muller", "van Berg", "X", None]
+    entries = [(d, n, " ".join(rnd.choices(words, k=rnd.randrange(9)))) for d in range(40) for n in range(1, rnd.randrange(1, 8))]
+    printed = [(d, n, (t if rnd.random() < 0.6 else t.replace(" ", "", 2)) + rnd.choice(["", " more"])) for d, n, t in entries if rnd.random() < 0.9] + [(99, 1, "tide")]
+    of = lambda rows, d: [r for r in rows if r[0] == d]
+    own = {(r.doc_id, r.pos): r.owner for r in au.owners(spark.createDataFrame(printed, "doc_id long, pos long, text string"), spark.createDataFrame(entries, "doc_id long, n long, text string")).collect()}
+    got = {}
+    for d in {p[0] for p in printed}:
+        got |= zip([(d, p[1]) for p in of(printed, d)], rd.owners([p[2] for p in of(printed, d)], [e[1:] for e in of(entries, d)]))
+    assert got == own and None in own.values() and any(own.values())
+    years = [["2010"], ["2011a"], ["2010", "2012"], [], ["n.d."]]
+    keys = [(d, n, s, [s] + rnd.sample(surnames[:4], 2) if s else [], rnd.choice(years), rnd.random() < 0.8) for d in range(30) for n in range(1, rnd.randrange(1, 7)) for s in [rnd.choice(surnames)]]
+    asked = [(d, q, s, rnd.sample(surnames[:4], rnd.randrange(3)) if s else [], rnd.choice(["2010", "2011", "2011a", "2011b", "2013", "n.d.", None])) for d in range(31) for q in range(1, 9) for s in [rnd.choice(surnames)]]
+    table = mt.resolve_author_date(spark.createDataFrame(asked, "doc_id long, seq long, surname string, others array<string>, year string"), spark.createDataFrame(keys, "doc_id long, n long, surname string, surnames array<string>, years array<string>, dated boolean"), nm.name_similarity_udf, corroborating=nm.corroboration_udf)
+    expected = {(r.doc_id, r.seq): (r.status, r.reference_n, r.candidates, r.confidence) for r in table.collect()}
+    lists = {d: rd.Keys([(k[1], dict(zip(("surname", "surnames", "years", "dated"), k[2:]))) for k in of(keys, d)]) for d in range(31)}
+    assert {(d, q): lists[d].resolve(s, tuple(o), y) for d, q, s, o, y in asked} == expected
+    assert {s for s, *_ in expected.values()} == {"resolved", "ambiguous", "orphaned", "unresolved"}
+    texts = [(d, n, rnd.choice(["[1] a", f"[{n}] a", f" {n}. b", f"{n})", f"{n}.c", "", None])) for d in range(40) for n in (2, 3, 5)[: rnd.randrange(1, 4)]] + [(77, n, f"[{3 - n}] x") for n in (1, 2)]
+    expected = {tuple(r) for r in mt.number_index(spark.createDataFrame(texts, "doc_id long, n long, raw_text string")).collect()}
+    assert {(d, *r) for d in {t[0] for t in texts} for r in rd.number_index([t[1:] for t in of(texts, d)])} == expected
+
+
 def test_entries_are_looked_up_in_one_reading(spark):
     rows = [(1, 1, "Quill T. Sorting tides. Shore. 2011. doi:10.1234/tides", None, None), (1, 2, "Brack, U. (2012). Undated things. Harbour.", None, None), (1, 3, "rebuilt", "Other", "10.1234/tides"), (2, 1, None, None, None)]
     entries, seen = counted(spark, spark.createDataFrame(rows, "doc_id long, n long, raw_text string, title string, doi string"))
