@@ -362,6 +362,14 @@ def test_matching_shuffles_nothing(spark):
     assert not [p for p in plans if "Exchange" in p]
 
 
+def test_a_whole_check_reads_manuscripts_once(spark):
+    docs, seen = counted(spark, spark.createDataFrame(MANUSCRIPTS, "doc_id long, text string"))
+    works = spark.createDataFrame([("10.1/t", "Sorting tides", "Shore", 3, False, 2011)], "doi string, title string, outlet string, citations long, retracted boolean, year long")
+    got = {r.doc_id: (r.references, r.verified, r.resolved, r.found) for r in ck.full_check(docs, works).collect()}
+    assert got == {1: (2, 1, 2, "bibliography"), 2: (0, 0, 0, "no bibliography"), 3: (0, 0, 0, "no bibliography"), 4: (1, 1, 1, "bibliography")}
+    assert seen.value == len(MANUSCRIPTS)
+
+
 ENDS = ["Appendix", " Danksagung :", "Appendix A. More", "Appendix A. More. And more", "appendix Aé", "Appendix A\u200c x", "appendices: all tests", ": Appendix. ok", "Appendix ABCDE x", "Appendix B1: Tables", "Author note:", "Manuscript received 3 May 2010", "manuscript\u2003Received: 4. 5. 2011.", "receivedé 2010", "Received May 2012 and so much more than that", "Received " + "May " * 20 + "2012", "Appendix " + "long " * 14, "References"]
 
 
